@@ -60,20 +60,11 @@ def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], o
     counts of the ranges before. A key that holds a third of the table is spread over many ranges.
     ``order`` has to be total for a deterministic result; rows that tie completely are interchangeable.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [*keys, *order]
-    ranged = stage(df.repartitionByRange(n, *cols).withColumn("_range", F.spark_partition_id()))
-    inner = Window.partitionBy(*keys, "_range")
-    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    same = [ranged[k].eqNullSafe(offsets[k]) for k in [*keys, "_range"]]
-    return (
-        ranged.withColumn("_local", F.row_number().over(inner.orderBy(*order)) - 1)
-        .alias("r")
-        .join(offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_kr"), "_offset"), on=[F.col(f"r.{k}").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("r._range") == F.col("_kr")])
-        .select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_local") + F.col("_offset")).alias(out))
-        if same
-        else ranged
-    )
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    within = [*keys, "_range"]
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
+    offsets = ranged.groupBy(*within).agg(F.count("*").alias("_n")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(within)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(within)]
+    return local.join(offsets, same).select(*df.columns, (F.col("_local") + F.col("_offset")).cast("long").alias(out))
