@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.plans import skew
+from quantloom.plans import reference, skew
 
-QUERIES = {**skew.QUERIES}
-ORACLES = {**skew.ORACLES}
+QUERIES = {**skew.QUERIES, **reference.QUERIES}
+ORACLES = {**skew.ORACLES, **reference.ORACLES}
