@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.vector import gumbel, hash_uniform
-from quantloom.session import distributed_rank, stage
+from quantloom.session import broadcast_if_small, distributed_rank, stage
 
 
 @dataclass
@@ -126,9 +126,11 @@ def beam_search(queries: DataFrame, trie: Trie, scorer, config: GenerationConfig
     trie has fewer paths.
     """
     beams = queries.select("query_id").distinct().select("query_id", F.lit(1).alias("beam_id"), F.array().cast("array<int>").alias("tokens"), F.lit(0).cast("long").alias("node_id"), F.lit(0.0).alias("log_prob"))
-    edges = trie.edges.select("node_id", "token", "child_id")
+    rows = {r.depth: r["count"] for r in trie.edges.groupBy("depth").count().collect()}  # one row a level
     by = ["query_id", "beam_id"]
     for step in range(config.steps):
+        # Near the root few nodes are shared by all beams; those levels are small and go to the beams instead.
+        edges = broadcast_if_small(trie.edges.filter(F.col("depth") == step).select("node_id", "token", "child_id"), rows.get(step, 0), 32)
         scored = scorer(beams.join(edges, "node_id"), step)
         if config.strategy == "topk":
             kept = log_softmax(top_k(scored, by, config.beam_size).drop("rank"), by, out="lp")
