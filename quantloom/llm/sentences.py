@@ -9,6 +9,8 @@ Masks keep every position, so the text of a sentence is restored by cutting it f
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +86,18 @@ _AT_LINE = rf"(?:^|[{_NL}])[{_SP}]{{0,8}}"
 _ONE_LINE = rf"[#|!$](?<={_AT_LINE}[#|!$])(?:(?<=#)#{{0,5}} |(?<=\|)|(?<=!)\[|(?<=\$)\$)"
 
 
+def _forms(*words: str) -> list[str]:
+    """Each word with composed and with decomposed accents."""
+    return sorted({unicodedata.normalize(form, w) for w in words for form in ("NFC", "NFD")}, key=lambda w: (-len(w), w))
+
+
+def _any(words: str) -> str:
+    return "|".join(_forms(*words.split("|")))
+
+
 def _abbreviations() -> str:
     """A look-behind for each length, so that most words fail at their first letter."""
-    words = sorted({v for w in ABBREVIATIONS for v in (w, w[0].upper() + w[1:])})
+    words = sorted({f for w in ABBREVIATIONS for v in (w, w[0].upper() + w[1:]) for f in _forms(v)})
     by_length = {n: "|".join(w.replace(".", r"[.\x01]") for w in words if len(w) == n) for n in sorted({len(w) for w in words})}
     return "|".join(rf"(?<=(?<!{_WORD})(?:{alternatives})\.)" for alternatives in by_length.values())
 
@@ -135,12 +146,12 @@ def _steps() -> list[tuple[str, str, Column | None]]:
             rf"|(?=[{_WS}]+\p{{Lu}})(?<=\p{{Ll}}\.)(?<![\p{{L}}\p{{N}}].\.)(?<!т[.\x01][{_WS}]{{0,2}}.\.)(?<!\p{{Ll}}[.\x01].\.)"
             rf"|(?=[{_WS}])(?<=[\p{{L}}\p{{M}}]\.)(?:{_abbreviations()})"
             # German ordinals
-            rf"|(?=[{_WS}])(?<=\d\.)(?:(?<=\b(?:{_ORDINAL_BEFORE})[{_WS}]\d{{1,2}}\.)|(?=[{_WS}]+(?:{_MONTHS})\b)(?<=\b\d{{1,2}}\.))"
+            rf"|(?=[{_WS}])(?<=\d\.)(?:(?<=\b(?:{_ORDINAL_BEFORE})[{_WS}]\d{{1,2}}\.)|(?=[{_WS}]+(?:{_any(_MONTHS)})\b)(?<=\b\d{{1,2}}\.))"
             r")",
             MASK,
             _has(".", "?", "!", chr(11)),
         ),
-        (rf"\.(?=[{_WS}])(?<=(?<![\p{{L}}\p{{M}}])[{_ARAB}]\.)", MASK, arab & _has(".")),
+        (rf"\.(?=[{_WS}])(?<=(?<![\p{{L}}\p{{M}}])[{_ARAB}]\p{{M}}{{0,2}}\.)", MASK, arab & _has(".")),
         # Full stops behind letters of scripts that do not end sentences with them.
         (rf"\.(?<=[{_DEVA}{_THAI}{_THAI_SIGNS}]\.)(?!\.)", MASK, (deva | thai) & _has(".")),
         # Quotations and brackets: what is inside ends nothing, but for what ends the sentence around it.
@@ -151,12 +162,12 @@ def _steps() -> list[tuple[str, str, Column | None]]:
         # Quotations that their sentence goes on behind, in scripts without capitals.
         (rf"[{_TERM}](?=[{_TERM}]*\x12[{_SP}]*[^{_WS}{_NL}])", MASK, _has(chr(18))),
         (rf"((?:^|[^:{_SP}])[{_SP}]?\x0e[^\x0e\x10\x02{_TERM}]*)[{_TERM}](?=\x10[{_CJK}])", keep, east & _has(chr(16))),
-        (rf"[{_TERM}](?=[{_TERM}]*\x10(?:{_CJK_ON}))", MASK, east & _has(chr(16))),
+        (rf"[{_TERM}](?=[{_TERM}]*\x10(?:{_any(_CJK_ON)}))", MASK, east & _has(chr(16))),
         (rf"[{_TERM}](?=[\"\x10\xbb)]+[{_SP}]*\n?[{_SP}]*[{_DEVA}{_THAI}])", MASK, deva | thai),
         (rf"[!?](?=[\"\x10\xbb]+[{_WS}]+(?:\u062b\u0645|\u0648[{_ARAB}]+)[{_WS}])", MASK, arab),
         # An ellipsis that its sentence goes on behind: after an interjection or before a conjunction.
         (rf"[.\x05](?=[.\x05]*[{_CJK}])(?<=(?:^|[\x07\x08\x0b\x10\x12\x14{_WS}\x02])[{_CJK}]{{1,2}}[.\x05]{{1,4}})", MASK, east & _has("...", chr(5))),
-        (rf"(?:\x05|\.(?:(?<=\.\.)|(?=\.\.)))(?=[.\x05]*(?:{_CJK_ON}))", MASK, east & _has("...", chr(5))),
+        (rf"(?:\x05|\.(?:(?<=\.\.)|(?=\.\.)))(?=[.\x05]*(?:{_any(_CJK_ON)}))", MASK, east & _has("...", chr(5))),
         (rf"\.\.\.(?=[{_WS}]+[{_ARAB}{_DEVA}])", MASK * 3, (arab | deva) & _has("...")),
         # Thai enumerations before "and so on".
         (rf"[{_SP}](?=[{_THAI}]{{1,5}}(?:[{_SP}][{_THAI}]{{1,5}}){{0,8}}[{_SP}]\u0e2f\u0e25\u0e2f)", MASK, thai & _has("\u0e2f\u0e25\u0e2f")),
