@@ -151,10 +151,52 @@ def _sample_ends(ranges: dict[str, tuple[int, int]]):
     return prepare
 
 
+def _places(items: list, seen: dict[int, int]) -> np.ndarray:
+    """Position among the user's interactions (``seen``: position to item) of each element that is not null.
+
+    A null stands for one interaction or for none, whichever lets more of the elements name the same
+    item as their interaction; on ties for one. Between two nulls all elements keep one distance.
+    """
+    known = np.array([x is not None for x in items], dtype=bool)
+    values = np.array([x for x in items if x is not None], dtype=np.int64)
+    nulls, at = np.cumsum(~known)[known], np.arange(len(values))
+    if not len(values) or not nulls[-1]:
+        return at
+    there = np.full(len(items) + 1, -1, dtype=np.int64)
+    for p, x in seen.items():
+        if p < len(items):
+            there[p] = x
+    starts = np.flatnonzero(np.append(True, nulls[1:] != nulls[:-1]))
+    ends = np.append(starts[1:], len(values))
+    # best[s]: most matches so far if s of the nulls stand for an interaction; came[j][s]: s of the run before.
+    best, came, before = np.zeros(1), [], 0
+    for lo, hi in zip(starts, ends):
+        count = int(nulls[lo])
+        new, source = np.full(count + 1, -1.0), np.zeros(count + 1, dtype=np.int64)
+        for more in range(count - before + 1):
+            part = slice(more, more + len(best))
+            better = best >= new[part]
+            new[part] = np.where(better, best, new[part])
+            source[part] = np.where(better, np.arange(len(best)), source[part])
+        for k in range(count + 1):
+            new[k] += (there[lo + k : hi + k] == values[lo:hi]).sum()
+        came.append(source)
+        best, before = new, count
+    shift = len(best) - 1 - int(np.argmax(best[::-1]))
+    out = at.copy()
+    for lo, hi, source in zip(starts[::-1], ends[::-1], came[::-1]):
+        out[lo:hi] += shift
+        shift = int(source[shift])
+    return out
+
+
 def _history_ends(items: np.ndarray, found: list | None) -> tuple[np.ndarray, np.ndarray, None]:
-    session = {x["pos"]: x["session_id"] for x in found or []}
-    ends = [i for i in range(1, len(items)) if session.get(i) is not None and session.get(i - 1) is not None and session[i] != session[i - 1]]
-    return np.array(items, dtype=np.int64), np.array(ends, dtype=np.int64), None
+    seen = {x["pos"]: (x["item"], x["session_id"]) for x in found or []}
+    places = _places(list(items), {p: x for p, (x, _) in seen.items()})
+    values = [x for x in items if x is not None]
+    session = [s if item == x else None for x, (item, s) in zip(values, (seen.get(int(p), (None, None)) for p in places))]
+    ends = [i for i in range(1, len(values)) if session[i] is not None and session[i - 1] is not None and session[i] != session[i - 1]]
+    return np.array(values, dtype=np.int64), np.array(ends, dtype=np.int64), None
 
 
 def split_samples(samples: DataFrame, roles: DataFrame, limit: int = SAMPLE_LIMIT, overlap: int = SAMPLE_OVERLAP, block: int = SAMPLE_BLOCK) -> DataFrame:
@@ -185,23 +227,25 @@ def split_history(history: DataFrame, interactions: DataFrame, limit: int = HIST
     """(rec_id, split, piece, start, tokens) of each history list, without nulls and fillers.
 
     The sessions of a long list come from the user's interactions in order of ts (and
-    interaction_id): the k-th valid element is the user's k-th valid interaction where both name the
-    same item; elsewhere no session end is assumed. Redelivered rows (same user_id and split, or same
-    interaction_id) count once. Null lists give one empty piece; rows without user_id are left out.
+    interaction_id): the k-th element is the user's k-th valid interaction where both name the same
+    item; elsewhere no session end is assumed. Fillers are no elements; a null holds the place of an
+    interaction unless more elements agree without it. Redelivered rows (same user_id and split, or
+    same interaction_id) count once. Null lists give one empty piece; rows without user_id are left out.
     """
     _check(limit, overlap)
-    items = F.filter(F.coalesce("items", F.array().cast("array<long>")), lambda i: i.isNotNull() & (i >= 0))
-    rows = _once(history.filter("user_id is not null").select(F.col("user_id").cast("long").alias("rec_id"), "split", items.alias("ids")))
+    places = F.filter(F.coalesce("items", F.array().cast("array<long>")), lambda i: i.isNull() | (i >= 0))
+    rows = history.filter("user_id is not null").select(F.col("user_id").cast("long").alias("rec_id"), "split", F.filter(places, lambda i: i.isNotNull()).alias("ids"), places.alias("places"))
+    rows = _once(rows, "places")
     whole = rows.filter(F.size("ids") <= limit).select("rec_id", "split", F.lit(0).alias("piece"), F.lit(0).alias("start"), F.col("ids").alias("tokens"))
     long = rows.filter(F.size("ids") > limit)
     seen = interactions.filter("user_id is not null and item_id >= 0").select("user_id", "interaction_id", "ts", F.col("item_id").cast("long").alias("item_id"), "session_id")
     seen = seen.join(long.select(F.col("rec_id").alias("user_id")).distinct(), "user_id", "left_semi").dropDuplicates(["user_id", "interaction_id", "ts", "item_id"])
     ranked = distributed_rank(seen, ["user_id"], ["ts", "interaction_id", "item_id"], "pos").select(F.col("user_id").alias("rec_id"), "pos", F.col("item_id").alias("item"), "session_id")
-    elements = long.select("rec_id", "split", F.posexplode("ids").alias("pos", "item"))
-    sessions = elements.join(ranked, ["rec_id", "pos", "item"]).groupBy("rec_id", "split").agg(F.collect_list(F.struct("pos", "session_id")).alias("found"))
+    elements = long.select("rec_id", "split", F.explode(F.sequence(F.lit(0).cast("long"), (F.size("places") - 1).cast("long"))).alias("pos"))
+    sessions = elements.join(ranked, ["rec_id", "pos"]).groupBy("rec_id", "split").agg(F.collect_list(F.struct("pos", "item", "session_id")).alias("found"))
     # One list of sessions a record, no longer than the record itself.
     sessions = sessions.select(F.col("rec_id").alias("_rec"), F.col("split").alias("_split"), F.col("found").alias("extra"))
-    cut = long.join(sessions, (F.col("rec_id") == F.col("_rec")) & F.col("split").eqNullSafe(F.col("_split")), "left").select("rec_id", "split", "ids", "extra")
+    cut = long.join(sessions, (F.col("rec_id") == F.col("_rec")) & F.col("split").eqNullSafe(F.col("_split")), "left").select("rec_id", "split", "places", "extra")
     cut = cut.mapInArrow(_splitter(limit, overlap, block, _history_ends), f"rec_id long, split string, {_PIECES}")
     return whole.unionByName(cut)
 
@@ -211,10 +255,10 @@ def _check(limit: int, overlap: int) -> None:
         raise ValueError("the overlap has to be less than half the limit")
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """One list for each record."""
-    rows = rows.withColumn("_best", F.struct(F.size(F.coalesce("ids", F.array().cast("array<long>"))).alias("n"), F.xxhash64("ids").alias("h"), F.col("ids").alias("ids")))
-    return rows.groupBy("rec_id", "split").agg(F.max("_best").alias("_best")).select("rec_id", "split", "_best.ids")
+def _once(rows: DataFrame, *more: str) -> DataFrame:
+    """One list for each record, with the columns ``more`` of its row."""
+    rows = rows.withColumn("_best", F.struct(F.size(F.coalesce("ids", F.array().cast("array<long>"))).alias("n"), F.xxhash64("ids").alias("h"), F.col("ids").alias("ids"), *more))
+    return rows.groupBy("rec_id", "split").agg(F.max("_best").alias("_best")).select("rec_id", "split", "_best.ids", *[f"_best.{c}" for c in more])
 
 
 def split_records(samples: DataFrame, history: DataFrame, interactions: DataFrame, roles: DataFrame) -> DataFrame:

@@ -106,6 +106,28 @@ def test_history(spark):
         assert not i or tokens[:4] == pieces[i - 1][1][-4:]
 
 
+def test_history_null_in_place_of_an_interaction(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    interactions = spark.createDataFrame([(i, 7, i // 6, 100 + i, t0 + timedelta(minutes=i)) for i in range(60)], "interaction_id long, user_id long, session_id long, item_id long, ts timestamp")
+    items = [100 + i for i in range(58)]
+    items[3] = items[31] = None
+    rows = [(7, "train", [*items[:20], -1, *items[20:]])]
+    pieces = sorted(S.split_history(spark.createDataFrame(rows, "user_id long, split string, items array<long>"), interactions).collect(), key=lambda r: r.piece)
+    assert len(pieces) > 2 and sum((p.tokens if i == 0 else p.tokens[4:] for i, p in enumerate(pieces)), []) == [x for x in items if x is not None]
+    for p in pieces[:-1]:
+        assert (p.tokens[-1] - 99) % 6 == 0  # where a session ends
+
+
+def test_places():
+    seen = {i: 100 + i for i in range(12)}
+    assert S._places([100, None, 102, 103], seen).tolist() == [0, 2, 3]
+    assert S._places([100, None, 101, 102], seen).tolist() == [0, 1, 2]
+    assert S._places([None, None, 101, None, 102, 103, None, None, 106], seen).tolist() == [1, 2, 3, 6]
+    assert S._places([100, None], {}).tolist() == [0] and S._places([None], seen).tolist() == [] and S._places([], seen).tolist() == []
+
+
 def test_bad_overlap(spark):
     with pytest.raises(ValueError):
         S._check(10, 5)
