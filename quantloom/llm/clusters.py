@@ -286,14 +286,15 @@ def _with_centres(assigned: DataFrame, centres: DataFrame, d: int) -> DataFrame:
     return joined.mapInArrow(cosine, "item_id long, vec array<double>, node long, leaf long, cosine double")
 
 
-def similarity_clusters(items: DataFrame, similarity: float = SIMILARITY, node_items: int = NODE_ITEMS, dimensions: int = DIMENSIONS, item: str = "item_id", vector: str = "embedding", moment: str = "loaded_at") -> DataFrame:
+def similarity_clusters(items: DataFrame, similarity: float = SIMILARITY, node_items: int = NODE_ITEMS, dimensions: int = DIMENSIONS, item: str = "item_id", vector: str = "embedding", moment: str = "loaded_at", centred: bool = True) -> DataFrame:
     """(item_id, cluster_id, size, cosine, complete) of every item with a usable vector.
 
     Items fall into one cluster if their leaves hold similar items only, and cut groups of similar
     items are put together again. ``complete``: all members of the cluster have a cosine of
     ``similarity`` or more with each other and less with every other item; ``cluster_id`` is then its
     smallest item. The members of a leaf whose surroundings are not that clear keep the leaf as their
-    cluster, named by its smallest item. ``cosine`` is the one to the centre of the item's leaf.
+    cluster, named by its smallest item. ``cosine`` is the one to the centre of the item's cluster,
+    whatever leaves it was cut into; it is left out, and costs nothing, without ``centred``.
     Copies of a vector under different items count as different members; a single item is a
     cluster of one. Items without a usable vector (null, short, not finite, all zero) are left out;
     an empty table gives no rows.
@@ -312,11 +313,10 @@ def similarity_clusters(items: DataFrame, similarity: float = SIMILARITY, node_i
     unsure = pairs.filter("not similar").select("a", "b")
     single = _member_pairs(members.withColumn("id", _leaf_id()), unsure, similarity, d)
     own = leaves.select("id", F.col("n").alias("n0"), F.col("least").alias("leaf_least"), F.col("h").alias("h0"))
-    item_rows = members.withColumn("id", _leaf_id()).select("item_id", "id", "cosine").join(own, "id").join(whole.select(F.col("a").alias("id"), "n", "least", "h"), "id", "left").join(single, "item_id", "left")
+    item_rows = members.withColumn("id", _leaf_id()).select("item_id", "id").join(own, "id").join(whole.select(F.col("a").alias("id"), "n", "least", "h"), "id", "left").join(single, "item_id", "left")
     zero = F.lit(0)
     near = item_rows.select(
         "item_id",
-        "cosine",
         "leaf_least",
         (F.col("n0") + F.coalesce("n", zero) + F.coalesce("n1", zero)).alias("size"),
         F.least("leaf_least", F.coalesce("least", "leaf_least"), F.coalesce("least1", "leaf_least")).alias("cluster_id"),
@@ -326,10 +326,26 @@ def similarity_clusters(items: DataFrame, similarity: float = SIMILARITY, node_i
     # A group is complete if all of those that share a smallest neighbour see the same neighbours, and are as many as they see.
     groups = near.groupBy("cluster_id").agg(F.count("*").alias("members"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("sum").alias("s0"), F.max("sum").alias("s1"), F.sum(F.xxhash64("item_id").cast("decimal(38,0)")).alias("s2"))
     groups = groups.select("cluster_id", ((F.col("members") == F.col("lo")) & (F.col("lo") == F.col("hi")) & (F.col("s0") == F.col("s1")) & (F.col("s0") == F.col("s2"))).alias("complete"))
-    named = near.join(groups, "cluster_id").select("item_id", F.when(F.col("complete"), F.col("cluster_id")).otherwise(F.col("leaf_least")).alias("cluster_id"), "cosine", "complete")
-    named = named.select("item_id", "cluster_id", "cosine", "complete")
+    named = near.join(groups, "cluster_id").select("item_id", F.when(F.col("complete"), F.col("cluster_id")).otherwise(F.col("leaf_least")).alias("cluster_id"), "complete")
+    if centred:
+        return _with_cluster_centres(named, vectors, d)
     sizes = named.groupBy("cluster_id", "complete").agg(F.count("*").alias("size"))
-    return named.join(sizes, ["cluster_id", "complete"]).select("item_id", "cluster_id", "size", "cosine", "complete")
+    return named.join(sizes, ["cluster_id", "complete"]).select("item_id", "cluster_id", "size", "complete")
+
+
+def _with_cluster_centres(named: DataFrame, vectors: DataFrame, d: int) -> DataFrame:
+    """Items with the size of their cluster and the cosine to its centre; sums of a cluster leave each task once."""
+
+    def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c = np.einsum("ij,ij->i", _matrix(batch.column(4), d), _unit(_matrix(batch.column(5), d)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(c), batch.column(3)], names=["item_id", "cluster_id", "size", "cosine", "complete"])
+
+    rows = stage(named.join(vectors, "item_id").select("item_id", "cluster_id", "complete", "vec"))
+    sums = rows.groupBy("cluster_id", "complete").agg(F.count("*").alias("size"), F.array(*[F.sum(F.get("vec", F.lit(i))) for i in range(d)]).alias("total"))
+    joined = rows.join(sums, ["cluster_id", "complete"]).select("item_id", "cluster_id", "size", "complete", "vec", "total")
+    return joined.mapInArrow(cosine, "item_id long, cluster_id long, size long, cosine double, complete boolean")
 
 
 def _leaf_pairs(leaves: DataFrame, theta: float, d: int) -> DataFrame:

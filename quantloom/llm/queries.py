@@ -43,7 +43,7 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_clusters(_read(spark, sf_dir, "catalog_items")).filter("complete and size >= 3").select("cluster_id", "item_id")
+    return similarity_clusters(_read(spark, sf_dir, "catalog_items"), centred=False).filter("complete and size >= 3").select("cluster_id", "item_id")
 
 
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,29 @@ def test_complete_clusters(spark, monkeypatch, seed, spread, d):
         assert (m @ m.T).min() >= 0.82 - 1e-6
 
 
+def test_typical_items_of_a_cut_cluster(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_ITEMS", 8)
+    rng = np.random.default_rng(7)
+    centres = np.linalg.qr(rng.normal(size=(64, 64)))[0][:6]
+    x = np.concatenate([c + rng.normal(size=(20, 64)) * 0.045 for c in centres])
+    rows = [(i, v.tolist(), None, "x") for i, v in enumerate(x)]
+    vectors = C.unit_vectors(frame(spark, rows))
+    assert C.assign_leaves(vectors, 0.82).select("node", "leaf").distinct().count() > 6  # the tree cuts them
+    got = C.similarity_clusters(frame(spark, rows))
+    u = {r.item_id: np.array(r.vec) for r in vectors.collect()}
+    members = {}
+    for r in got.collect():
+        members.setdefault((r.cluster_id, r.complete), {})[r.item_id] = r.cosine
+    want = {}
+    for key, v in members.items():
+        total = sum(u[i] for i in v)
+        cosine = {i: float(u[i] @ total / np.linalg.norm(total)) for i in v}
+        assert all(abs(cosine[i] - c) < 1e-9 for i, c in v.items())
+        want[key] = sorted(v, key=lambda i, cosine=cosine: (-round(cosine[i], 9), i))[:3]
+    assert any(k[1] and len(v) == 20 for k, v in members.items())
+    assert {(r.cluster_id, r.complete): r.typical_items for r in C.describe_clusters(got).collect()} == want
+
+
 def test_dirty_rows(spark):
     from datetime import datetime
 
