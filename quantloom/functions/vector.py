@@ -17,6 +17,11 @@ def doubles(v: ColumnOrName) -> Column:
     return _c(v).cast("array<double>")
 
 
+def finite(v: ColumnOrName) -> Column:
+    """Whether every element is a finite number; null for a null array."""
+    return F.forall(doubles(v), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 

@@ -2,6 +2,8 @@
 
 Codebooks are tables of at most levels x codes rows whatever the data's size, so they are collected
 and shipped with the Arrow functions; vectors stay distributed. Every argmin takes the lowest code on ties.
+Null vectors, those of another length and those with an element that is null or not finite are
+unusable: they get no code and move no centre.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.vector import l2sq
+from quantloom.functions.vector import finite, l2sq
 
 CODEBOOK_SCHEMA = "level int, code int, vec array<double>"
 
@@ -45,7 +47,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def find_nearest(df: DataFrame, vector: str, codes: np.ndarray, out: str = "code") -> DataFrame:
-    """Add the nearest code of each vector; rows with a null or misshapen vector get null."""
+    """Add the nearest code of each vector; rows with an unusable vector get null."""
     return encode(df, vector, [codes], out).withColumn(out, F.get(out, F.lit(0)))
 
 
@@ -53,18 +55,19 @@ def find_nearest_sql(df: DataFrame, vector: str, codebook: DataFrame, out: str =
     """The same as one expression over a one-row codebook; the plain baseline for small codebooks."""
     packed = codebook.agg(F.array_sort(F.collect_list(F.struct("code", "vec"))).alias("_cb"))
     best = F.array_min(F.transform("_cb", lambda c: F.struct(l2sq(F.col(vector), c["vec"]).alias("d"), c["code"].alias("code"))))["code"]
-    return df.crossJoin(F.broadcast(packed)).withColumn(out, best).drop("_cb")
+    fits = (F.size(vector) == F.size(F.col("_cb")[0]["vec"])) & finite(vector)
+    return df.crossJoin(F.broadcast(packed)).withColumn(out, F.when(fits, best)).drop("_cb")
 
 
 def encode(df: DataFrame, vector: str, levels: Sequence[np.ndarray], out: str = "codes") -> DataFrame:
-    """Add residual codes (array<int>, one a level) of each vector; null for null or misshapen vectors."""
+    """Add residual codes (array<int>, one a level) of each vector; null for unusable vectors."""
     d = levels[0].shape[1]
 
     @F.pandas_udf("array<int>")
     def residual_codes(series):
         import pandas as pd
 
-        ok = np.array([v is not None and len(v) == d for v in series])
+        ok = np.array([v is not None and len(v) == d and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()) for v in series], dtype=bool)
         codes = np.empty(len(series), dtype=object)
         if ok.any():
             r = np.stack([np.asarray(v, dtype=np.float64) for v in series[ok]])
@@ -113,7 +116,7 @@ def partial_sums(df: DataFrame, vector: str, levels: Sequence[np.ndarray], level
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(count[seen]), pa.array(total[seen].tolist(), pa.list_(pa.float64()))], names=["code", "n", "total"])
 
-    usable = df.filter(F.size(vector) == d).select(F.col(vector).cast("array<double>").alias("v"))
+    usable = df.filter((F.size(vector) == d) & finite(vector)).select(F.col(vector).cast("array<double>").alias("v"))
     parts = usable.mapInArrow(sums, "code int, n long, total array<double>")
     return parts.groupBy("code").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(d)]).alias("total"))
 
@@ -169,7 +172,7 @@ class ResidualKMeans:
     counts: list[np.ndarray] = field(default_factory=list)
 
     def fit_step(self, batch: DataFrame, vector: str = "embedding") -> ResidualKMeans:
-        usable = batch.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+        usable = batch.filter(F.col(vector).isNotNull() & finite(vector)).select(F.col(vector).cast("array<double>").alias("v"))
         first = not self.books
         if first:
             seeds = usable.orderBy(F.xxhash64(F.lit(self.seed), "v"), "v").limit(self.seed_rows).collect()  # a bounded sample, for seeding only

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.vector import finite
 from quantloom.operators.quantize import ema_update, kmeans_plus_plus, nearest
 
 
@@ -63,7 +64,7 @@ class Autoencoder:
 
     def fit(self, df: DataFrame, vector: str = "embedding") -> Autoencoder:
         c = self.config
-        usable = df.filter(F.size(vector) == c.input_dim).select(F.col(vector).cast("array<double>").alias("v"))
+        usable = df.filter((F.size(vector) == c.input_dim) & finite(vector)).select(F.col(vector).cast("array<double>").alias("v"))
         rows = usable.orderBy(F.xxhash64(F.lit(c.seed), "v"), "v").limit(c.sample_rows).collect()
         if not rows:
             raise ValueError("no usable vectors")
@@ -115,7 +116,7 @@ class Autoencoder:
         return self
 
     def transform(self, df: DataFrame, vector: str = "embedding", out: str = "codes") -> DataFrame:
-        """Add the codes of every row; null for null or misshapen vectors."""
+        """Add the codes of every row; null for null, misshapen and not finite vectors."""
         if not self.books:
             raise RuntimeError("fit first")
         model, d = self, self.config.input_dim
@@ -124,7 +125,7 @@ class Autoencoder:
         def codes(series):
             import pandas as pd
 
-            ok = np.array([v is not None and len(v) == d for v in series])
+            ok = np.array([v is not None and len(v) == d and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()) for v in series], dtype=bool)
             found = np.empty(len(series), dtype=object)
             if ok.any():
                 rows, _ = model.quantize(model.latent(np.stack([np.asarray(v, dtype=np.float64) for v in series[ok]])))

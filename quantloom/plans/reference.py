@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.vector import dot, flat_ids, l2_normalize, sid_string, strip_padding, tail
+from quantloom.functions.vector import dot, finite, flat_ids, l2_normalize, sid_string, strip_padding, tail
 from quantloom.operators import metrics as M
 from quantloom.operators import quantize as Q
 from quantloom.operators import sequences as S
 from quantloom.operators import trie as T
 from quantloom.operators.rqvae import Autoencoder, AutoencoderConfig
+from quantloom.session import stage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +131,91 @@ def vec_norm(spark, d):
     return _read(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(dot("embedding", "embedding")), 6).alias("norm"), F.round(dot(u, u), 6).alias("unit"))
 
 
+def _latest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, v) of every item of the catalogue: its latest usable vector, ties by content, else null.
+
+    Usable are 64 finite numbers that are not all zero.
+    """
+    usable = (F.size("embedding") == 64) & finite("embedding") & F.exists("embedding", lambda x: x != 0)
+    best = F.max(F.when(usable, F.struct("loaded_at", "embedding")))["embedding"]
+    return _read(spark, d, "catalog_items").filter("item_id is not null").groupBy("item_id").agg(best.alias("v"))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """The same at unit length, as the codebook expects them."""
+    return _latest_vectors(spark, d).select("item_id", l2_normalize("v").alias("embedding"))
+
+
+_ITEMS = """u AS (SELECT item_id, max({'at': coalesce(loaded_at, TIMESTAMP '0001-01-01'), 'v': embedding}).v AS v FROM catalog_items WHERE item_id IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY item_id),
+ w AS (SELECT item_id, CAST(v AS DOUBLE[]) AS v FROM u), n AS (SELECT item_id, v, greatest(sqrt(list_inner_product(v, v)), 1e-12) AS norm FROM w),
+ e AS (SELECT item_id AS vec_id, list_transform(list_zip(v, list_resize([norm], 64, norm)), lambda z: z[1] / z[2]) AS v FROM n),
+ a AS (SELECT DISTINCT item_id FROM catalog_items WHERE item_id IS NOT NULL), k AS (SELECT level, code, CAST(vec AS DOUBLE[]) AS w FROM codebook)"""
+_RQ_ITEMS = "WITH " + _ITEMS + _level(0) + _level(1) + _level(2)
+
+
+@_query(f"WITH {_ITEMS}{_level(0)} SELECT item_id, c0 AS code FROM a LEFT JOIN r0 ON vec_id = item_id")
+def nn_assign_items(spark, d):
+    return Q.find_nearest(_items(spark, d), "embedding", _books(spark, d)[0]).select("item_id", "code")
+
+
+@_query(f"WITH {_ITEMS}{_level(0)} SELECT c0 AS code, count(*) AS n FROM a LEFT JOIN r0 ON vec_id = item_id GROUP BY c0")
+def nn_assign_counts_items(spark, d):
+    """The form without Python over the first level; items without a usable vector count under null."""
+    book = _read(spark, d, "codebook").filter("level = 0").select("code", F.col("vec").cast("array<double>").alias("vec"))
+    return Q.find_nearest_sql(_items(spark, d), "embedding", book).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@_query(_RQ_ITEMS + " SELECT item_id, CASE WHEN c0 IS NOT NULL THEN concat_ws(',', c0, c1, c2) END AS codes FROM a LEFT JOIN r2 ON vec_id = item_id")
+def rq_encode_items(spark, d):
+    return Q.encode(_items(spark, d), "embedding", _books(spark, d)).select("item_id", _text("codes").alias("codes"))
+
+
+@_query(_RQ_ITEMS + " SELECT round(sum(list_inner_product(v, v)) / sum(len(v)), 8) AS mse, count(*) AS n FROM r2")
+def rq_reconstruction_items(spark, d):
+    df = Q.encode(_items(spark, d).filter("embedding is not null"), "embedding", _books(spark, d))
+    return M.reconstruction_error(Q.decode(df, "codes", _read(spark, d, "codebook")), "embedding", "vec").select(F.round("mse", 8).alias("mse"), "n")
+
+
+@_query(f"WITH {_ITEMS}{_level(0)}, t AS (SELECT c0 AS code, generate_subscripts(e.v, 1) AS i, unnest(e.v) AS x FROM r0 JOIN e USING (vec_id)) SELECT code, i - 1 AS pos, round(avg(x), 6) AS centre, count(*) AS n FROM t GROUP BY ALL")
+def kmeans_minibatch_step_items(spark, d):
+    sums = Q.partial_sums(_items(spark, d), "embedding", _books(spark, d), 0)
+    return sums.select("code", "n", F.posexplode("total").alias("pos", "t")).select("code", "pos", F.round(F.col("t") / F.col("n"), 6).alias("centre"), "n")
+
+
+@_query(f"WITH {_ITEMS}{_level(0)}, t AS (SELECT c0 AS code, generate_subscripts(e.v, 1) AS i, unnest(e.v) AS x FROM r0 JOIN e USING (vec_id)), s AS (SELECT code, i, sum(x) AS x, count(*) AS n FROM t GROUP BY ALL) SELECT s.code, i - 1 AS pos, round((0.99 * k.w[i] + 0.01 * x) / (0.99 + 0.01 * n), 6) AS vec FROM s JOIN k ON k.level = 0 AND k.code = s.code")
+def ema_step_items(spark, d):
+    book = _books(spark, d)[0]
+    table = Q.codebook_table(spark, [book]).select("code", "vec")
+    sums = Q.partial_sums(_items(spark, d), "embedding", [book], 0).join(F.broadcast(table), "code")  # one row a code
+    new = F.zip_with("vec", "total", lambda v, t: (0.99 * v + 0.01 * t) / F.greatest(0.99 + 0.01 * F.col("n"), F.lit(1e-5)))
+    return sums.select("code", F.posexplode(new).alias("pos", "v")).select("code", "pos", F.round("v", 6).alias("vec"))
+
+
+@_query(f"WITH {_ITEMS} SELECT item_id, round(norm, 6) AS norm, CASE WHEN norm IS NOT NULL THEN CAST(1 AS DOUBLE) END AS unit FROM a LEFT JOIN n USING (item_id)")
+def vec_norm_items(spark, d):
+    """Length of each item's latest usable vector as stored, and that of its unit vector."""
+    rows = _latest_vectors(spark, d)
+    u = l2_normalize("v")
+    return rows.select("item_id", F.round(F.sqrt(dot("v", "v")), 6).alias("norm"), F.round(dot(u, u), 6).alias("unit"))
+
+
+@_query()
+def rq_kmeans_fit_items(spark, d):
+    """Three epochs of three levels of 256 codes, as in the project, over the whole catalogue."""
+    e = stage(_items(spark, d).filter("embedding is not null"))
+    model = Q.ResidualKMeans(seed=1).fit(e)
+    return M.reconstruction_error(model.inverse_transform(model.transform(e)), "embedding", "vec")
+
+
+@_query()
+def rqvae_fit_items(spark, d):
+    """256 codes a level, as in the project."""
+    e = stage(_items(spark, d).filter("embedding is not null"))
+    model = Autoencoder(AutoencoderConfig(codes=256)).fit(e)
+    return M.reconstruction_error(model.inverse_transform(model.transform(e)), "embedding", "vec")
+
+
 @_query(f"WITH {_CODES} SELECT item_id, CAST((codes[1] * 256 + codes[2]) * 256 + codes[3] AS BIGINT) AS flat_id FROM c")
 def flat_code_ids(spark, d):
     return _codes(spark, d).select("item_id", flat_ids("codes", 256).alias("flat_id"))

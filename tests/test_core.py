@@ -105,6 +105,22 @@ def test_residual_kmeans(spark, tmp_path):
         Q.ResidualKMeans(codes=4).fit_step(df.limit(0))
 
 
+def test_unusable_vectors_get_no_code_and_move_no_centre(spark):
+    x, clean = vectors(spark, bad=False)
+    bad = [[float("nan"), *[0.0] * 7], [float("inf"), *[0.0] * 7], [None, *[0.0] * 7], None, [1.0]]
+    df = clean.unionByName(spark.createDataFrame([(200 + i, v) for i, v in enumerate(bad)], clean.schema))
+    a, b = (Q.ResidualKMeans(levels=2, codes=4, seed=3).fit(t, epochs=2) for t in (clean, df))
+    assert all(np.allclose(p, q) for p, q in zip(a.books, b.books)) and all(c.sum() == 400 for c in b.counts)
+    codes = {r.item_id: r.codes for r in b.transform(df).collect()}
+    assert len({tuple(codes[i]) for i in range(200)}) > 4 and all(codes[200 + i] is None for i in range(len(bad)))
+    book = Q.codebook_table(spark, b.books[:1]).select("code", "vec")
+    plain = {r.item_id: r.code for r in Q.find_nearest_sql(df, "embedding", book).collect()}
+    assert plain == {i: None if c is None else c[0] for i, c in codes.items()}
+    config = AutoencoderConfig(input_dim=8, hidden_dim=16, latent_dim=4, levels=2, codes=8, steps=20)
+    model = Autoencoder(config).fit(df)
+    assert np.isfinite(model.losses).all() and [r.codes for r in model.transform(df).filter("item_id >= 200").collect()] == [None] * len(bad)
+
+
 def test_autoencoder(spark, tmp_path):
     _, df = vectors(spark)
     model = Autoencoder(AutoencoderConfig(input_dim=8, hidden_dim=16, latent_dim=4, levels=2, codes=8, steps=300)).fit(df)
