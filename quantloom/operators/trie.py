@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.vector import gumbel, hash_uniform
-from quantloom.session import broadcast_if_small, distributed_rank, stage
+from quantloom.session import BROADCAST_BYTES, broadcast_if_small, distributed_rank, stage
 
 
 @dataclass
@@ -147,32 +147,56 @@ def beam_search(queries: DataFrame, trie: Trie, scorer, config: GenerationConfig
     return beams.select("query_id", F.col("beam_id").alias("rank"), "tokens", "node_id", "log_prob")
 
 
-def generate_interleaved(prompts: DataFrame, trie: Trie, scorer, start_id: int, end_id: int, levels: int, eos_id: int, max_new: int) -> DataFrame:
-    """Greedy generation of text and items: free tokens until ``start_id``, then ``levels`` tokens of the trie and ``end_id``.
+def generate_interleaved(prompts: DataFrame, trie: Trie, scorer, start_id: int, end_id: int, levels: int, eos_id: int, max_new: int, temperature: float = 0.0, seed: int = 0) -> DataFrame:
+    """Generation of text and items: free tokens until ``start_id``, then ``levels`` tokens of the trie and ``end_id``.
 
-    ``prompts``: (query_id, last_token). ``scorer(rows)`` gets (query_id, last_token) rows and gives
-    (query_id, last_token, token, logit) for the free vocabulary. A state machine over all prompts at once;
-    each step is one join, staged every eighth step. Output: (query_id, tokens) without the prompt.
+    ``prompts``: (query_id, last_token). ``scorer(rows)`` gets (query_id, last_token, tokens) rows, inside
+    items too, and gives (query_id, last_token, token, logit). Each step takes the token of the best
+    logit, inside an item among the children of the state's node only, or with a ``temperature`` over 0
+    a seeded draw from their softmax. Ties go to the smaller token; a child without a logit comes after
+    all that have one. A state machine over all prompts at once, staged at every step.
+    Output: (query_id, tokens) without the prompt and the final ``eos_id``.
     """
     state = prompts.select("query_id", "last_token", F.array().cast("array<int>").alias("tokens"), F.lit(0).alias("inside"), F.lit(0).cast("long").alias("node_id"), F.lit(False).alias("done"))
-    edges = trie.edges.select("node_id", F.col("token").alias("t"), "child_id")
-    first = edges.groupBy("node_id").agg(F.min(F.struct("t", "child_id")).alias("e"))
+    # The upper levels are shared by all states; as many as are small go to the states.
+    rows = {r.depth: r["count"] for r in trie.edges.groupBy("depth").count().collect()}  # one row a level
+    small = 0
+    while small in rows and sum(rows[i] for i in range(small + 1)) * 32 <= BROADCAST_BYTES:
+        small += 1
+    edges = trie.edges.select("node_id", "depth", F.col("token").alias("t"), "child_id")
+
+    def children(states: DataFrame) -> DataFrame:
+        """(query_id, t, child_id) below the node of each state."""
+        upper = states.filter(F.col("inside") <= small).join(F.broadcast(edges.filter(F.col("depth") < small)), "node_id")
+        out = upper.select("query_id", "t", "child_id")
+        if any(k >= small for k in rows):
+            lower = states.filter(F.col("inside") > small).join(edges.filter(F.col("depth") >= small), "node_id")
+            out = out.unionByName(lower.select("query_id", "t", "child_id"))
+        return out
+
     for step in range(max_new):
-        logits = scorer(state.filter("inside = 0 and not done").select("query_id", "last_token").distinct())
-        best = logits.groupBy("query_id").agg(F.max(F.struct("logit", (-F.col("token")).alias("m"))).alias("b")).select("query_id", (-F.col("b.m")).alias("free"))
-        joined = state.join(best, "query_id", "left").join(first.withColumnRenamed("node_id", "n"), F.col("node_id") == F.col("n"), "left")
+        score = F.col("logit").cast("double")
+        if temperature > 0:
+            score = score / temperature + gumbel(hash_uniform(seed, F.lit(step), "query_id", "token"))
+        asked = ["query_id", "last_token", "tokens"]
+        free = scorer(state.filter("inside = 0 and not done").select(*asked)).withColumn("s", score)
+        free = free.groupBy("query_id").agg(F.max(F.struct("s", (-F.col("token")).alias("m"))).alias("b")).select("query_id", (-F.col("b.m")).alias("free"))
+        within = state.filter((F.col("inside") >= 1) & (F.col("inside") <= levels) & ~F.col("done"))
+        scored = scorer(within.select(*asked)).select("query_id", F.col("token").alias("t"), score.alias("s"))
+        item = children(within).join(scored, ["query_id", "t"], "left").withColumn("s", F.coalesce("s", F.lit(float("-inf"))))
+        item = item.groupBy("query_id").agg(F.max(F.struct("s", (-F.col("t")).alias("m"), "child_id")).alias("e")).select("query_id", (-F.col("e.m")).alias("t"), F.col("e.child_id").alias("child_id"))
+        joined = state.join(free, "query_id", "left").join(item, "query_id", "left")
         inside = F.col("inside")
-        token = F.when(inside == 0, F.coalesce("free", F.lit(eos_id))).when(inside <= levels, F.coalesce("e.t", F.lit(end_id))).otherwise(F.lit(end_id))
+        token = F.when(inside == 0, F.coalesce("free", F.lit(eos_id))).when(inside <= levels, F.coalesce("t", F.lit(end_id))).otherwise(F.lit(end_id))
         moved = joined.withColumn("token", F.when(~F.col("done"), token).cast("int"))
         ends = F.col("done") | (F.col("token") == eos_id)
-        state = moved.select(
+        # Each step reads the state several times, so it is written once a step.
+        state = stage(moved.select(
             "query_id",
             F.coalesce("token", "last_token").alias("last_token"),
             F.when(ends, F.col("tokens")).otherwise(F.concat("tokens", F.array("token"))).alias("tokens"),
             F.when(ends, F.lit(0)).when((inside == 0) & (F.col("token") == start_id), F.lit(1)).when(inside == 0, F.lit(0)).when(inside > levels, F.lit(0)).otherwise(inside + 1).alias("inside"),
-            F.when((inside >= 1) & (inside <= levels), F.coalesce("e.child_id", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("node_id"),
+            F.when((inside >= 1) & (inside <= levels), F.coalesce("child_id", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("node_id"),
             ends.alias("done"),
-        )
-        if step % 8 == 7:
-            state = stage(state)
+        ))
     return state.select("query_id", "tokens")

@@ -305,6 +305,45 @@ def beam_search_sampled(spark, d):
     return beams.select("query_id", "rank", _text("tokens").alias("tokens"), F.round("log_prob", 6).alias("log_prob"))
 
 
+def _interleaved(spark, d, temperature: float) -> DataFrame:
+    """An item after each user's prompt and, for odd users, a period and an item again; logits differ between users."""
+    first, start, end = 50_257, VOCABULARY.start, VOCABULARY.end
+    codes = _codes(spark, d)
+    seen = codes.select(F.posexplode("codes").alias("level", "code")).groupBy("level", "code").agg(F.count("*").alias("c"))
+    table = seen.select("level", (first + F.col("level") * 256 + F.col("code")).cast("int").alias("token"), F.ln(F.col("c").cast("double") + 1).alias("base"), "code")
+    last = F.col("last_token")
+    level = F.when(last == start, F.lit(0)).when((last >= first) & (last < start), F.floor((last - first) / 256).cast("int") + 1)
+
+    def score(rows: DataFrame) -> DataFrame:
+        entry = lambda token, logit: F.struct(F.lit(token).alias("token"), logit.cast("double").alias("logit"))
+        text = F.when(last == end, F.array(entry(50_256, F.lit(0.0)), entry(13, F.col("query_id") % 2 - 0.5))).otherwise(F.array(entry(start, F.lit(1.0)), entry(13, F.lit(0.5))))
+        free = rows.filter(level.isNull()).select("query_id", "last_token", F.explode(text).alias("e")).select("query_id", "last_token", "e.token", "e.logit")
+        item = rows.filter(level.isNotNull()).select("query_id", "last_token", level.alias("level")).join(F.broadcast(table), "level")  # levels x codes rows
+        return free.unionByName(item.select("query_id", "last_token", "token", (F.col("base") + F.pmod(F.col("code") + F.col("query_id"), F.lit(7)) / 10).alias("logit")))
+
+    prompts = _users(spark, d).select("query_id", F.pmod("query_id", F.lit(100)).cast("int").alias("last_token"))
+    out = T.generate_interleaved(prompts, T.item_trie(codes, first, 3, 256), score, start, end, 3, 50_256, 12, temperature, 3)
+    return out.select("query_id", _text("tokens").alias("tokens"))
+
+
+def _interleaved_sql() -> str:
+    sql, before = _TRIE + ", q AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS r), s AS (SELECT level, code, ln(count(*) + 1) AS base FROM (SELECT generate_subscripts(codes, 1) - 1 AS level, unnest(codes) AS code FROM c) GROUP BY level, code)", "(SELECT r, CAST([] AS INT[]) AS path, 0 AS node_id FROM q)"
+    for i in range(3):
+        sql += f", x{i} AS (SELECT b.r, list_append(b.path, {50_257 + 256 * i} + g.token) AS path, g.child_id AS node_id, row_number() OVER (PARTITION BY b.r ORDER BY s.base + ((g.token + b.r) % 7) / 10.0 DESC, g.token) AS rn FROM {before} b JOIN g ON g.node_id = b.node_id JOIN s ON s.level = {i} AND s.code = g.token), y{i} AS (SELECT r, path, node_id FROM x{i} WHERE rn = 1)"
+        before = f"y{i}"
+    return sql + ", z AS (SELECT r, '51025,' || array_to_string(path, ',') || ',51026' AS item FROM y2) SELECT user_id AS query_id, CASE WHEN user_id % 2 = 0 THEN item ELSE item || ',13,' || item || ',13' END AS tokens FROM (SELECT DISTINCT user_id FROM history WHERE user_id IS NOT NULL) JOIN z ON r = user_id % 7"
+
+
+@_query(_interleaved_sql())
+def generate_interleaved_greedy(spark, d):
+    return _interleaved(spark, d, 0.0)
+
+
+@_query()
+def generate_interleaved_sampled(spark, d):
+    return _interleaved(spark, d, 0.8)
+
+
 @_query(_SCORE + ", x AS (SELECT g.node_id, g.token, s.logit, row_number() OVER (PARTITION BY g.node_id ORDER BY s.logit DESC, g.token) AS rank FROM g JOIN s ON s.level = g.depth AND s.token = g.token) SELECT node_id, token, round(logit, 6) AS logit, rank FROM x WHERE rank <= 5")
 def constrained_topk(spark, d):
     """The five best children of every node."""

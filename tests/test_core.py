@@ -84,6 +84,19 @@ def test_beams(spark):
     assert out.tokens == [5, 90, 1, 2, 3, 91]
 
 
+def test_generated_items_follow_the_scorer(spark):
+    paths = [[1, 2, 3], [1, 2, 7], [3, 1, 2], [3, 6, 1], [2, 5, 1]]
+    trie = T.Trie.from_codes(spark.createDataFrame([(p,) for p in paths], "codes array<int>"))
+    # 4 is the best token of all, but no child of the root; 9 none of node (3).
+    logits = spark.createDataFrame([(0, 90, 1.0), (90, 4, 9.0), (90, 1, 0.5), (90, 2, 0.1), (90, 3, 2.0), (3, 9, 5.0), (3, 1, 1.0), (3, 6, 1.5), (6, 1, 0.0), (91, 99, 1.0)], "last_token int, token int, logit double")
+    prompts = spark.createDataFrame([(i, 0) for i in range(40)], "query_id long, last_token int")
+    score = lambda rows: rows.join(logits, "last_token")
+    assert {tuple(r.tokens) for r in T.generate_interleaved(prompts, trie, score, 90, 91, 3, 99, 8).collect()} == {(90, 3, 6, 1, 91)}
+    drawn = [T.generate_interleaved(prompts, trie, score, 90, 91, 3, 99, 8, temperature=2.0, seed=5).collect() for _ in range(2)]
+    assert sorted(drawn[0]) == sorted(drawn[1]) and {r.tokens[0] for r in drawn[0]} == {90}
+    assert {tuple(r.tokens[1:4]) for r in drawn[0]} <= set(map(tuple, paths)) and len({r.tokens[1] for r in drawn[0]}) == 3
+
+
 def test_residual_kmeans(spark, tmp_path):
     x, df = vectors(spark)
     model = Q.ResidualKMeans(levels=2, codes=4, seed=3).fit(df, epochs=2)
