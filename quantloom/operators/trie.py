@@ -13,11 +13,11 @@ from quantloom.session import BROADCAST_BYTES, broadcast_if_small, distributed_r
 
 @dataclass
 class Trie:
-    """``nodes(node_id, depth, prefix, n_children, row_ptr)`` and ``edges(node_id, depth, token, child_id)``.
+    """``nodes(node_id, depth, prefix, n_children, first_child)`` and ``edges(node_id, depth, token, child_id)``.
 
     Node 0 is the root; the others are numbered from 1, depth by depth, in the order of their
     prefixes. ``depth`` of an edge is that of its parent. Null and empty tuples and tuples with
-    nulls are left out; repeated tuples count once.
+    nulls are left out; repeated tuples count once. ``first_child`` is null for leaves.
     """
 
     nodes: DataFrame
