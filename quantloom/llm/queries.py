@@ -76,10 +76,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sentence with its text, cut from the unmasked document."""
-    docs = _read(spark, sf_dir, "documents")
-    found = document_sentences(docs)
-    return docs.select("doc_id", "text").join(found, "doc_id").select("doc_id", "start_pos", "end_pos", F.substring("text", F.col("start_pos").cast("int") + 1, (F.col("end_pos") - F.col("start_pos")).cast("int")).alias("sentence"))
+    """Each sentence with its text as it stands in the document."""
+    return document_sentences(_read(spark, sf_dir, "documents"), sentence="sentence").select("doc_id", "start_pos", "end_pos", "sentence")
 
 
 def queries() -> dict[str, Query]:

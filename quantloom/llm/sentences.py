@@ -2,9 +2,15 @@
 
 A text is first put into a shadow alphabet of the same length: signs of one role become one Latin-1
 or control character, so the patterns stay cheap. Full stops that end nothing (decimals, file names,
-addresses, initials, abbreviations, quoted sentences) are then masked, breaks between blocks become a
-sign of their own, and a mark is inserted behind every end that script-specific patterns find.
-Masks keep every position, so the text of a sentence is restored by cutting it from the text itself.
+addresses, initials, abbreviations, quoted sentences) then give way to a private-use placeholder, breaks
+between blocks become a sign of their own, and a mark is inserted behind every end that script-specific
+patterns find. Placeholders keep every position, so the text of a sentence is restored by its place.
+
+No pattern looks a bounded way ahead or back for what may be of any length: quotations, indents, list
+items, spaces before a line's end and enumerations are followed to their end. Counts left in the
+patterns are part of a form: item numbers and footnotes of one to three digits, German ordinals of one
+or two, headings of one to six signs, interjections of one or two characters, enumerated Thai words of
+one to five letters.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Signs of the shadow alphabet.
-MASK, BREAK, MARK = chr(1), chr(2), chr(3)
+MASK, BREAK, MARK, INDENT = chr(0xE000), chr(2), chr(3), chr(4)
 _SHADOW = {
     5: "\u2026",  # ellipsis
     6: "\u0964\u0965",  # danda
@@ -34,7 +40,7 @@ _SHADOW = {
     39: "\u2019",
     58: "\uff1a",
     63: "\u061f\u203d",
-    127: "".join(map(chr, [*range(9), *range(14, 32), *range(127, 133), *range(134, 160)])),
+    127: "".join(map(chr, [*range(9), *range(14, 32), *range(127, 133), *range(134, 160), 0xE000])),
     160: "\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u202f\u205f\u3000\ufeff",
     171: "\u2039",
     178: "\u2070" + "".join(map(chr, range(0x2074, 0x207A))),
@@ -44,8 +50,8 @@ _FROM = "".join(_SHADOW.values())
 _TO = "".join(chr(k) * len(v) for k, v in _SHADOW.items())
 
 # Character classes of the patterns, without their brackets.
-_WS = r" \t\n\xa0"
-_SP = r" \t\xa0"
+_WS = r" \t\n\xa0\x04"
+_SP = r" \t\xa0\x04"
 _NL = r"\n\x02"
 _TERM = r".!?\x05\x06\x07\x08\x0b"
 _CJK = r"\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
@@ -81,7 +87,8 @@ _WORD = r"[\p{L}\p{M}\p{N}]"
 _RULE = r"(?:-{3,}|={3,}|_{3,}|\*{3,})"
 _BLOCK = rf"[{_SP}]*(?:#{{1,6}} |[-*+\u2022] |\||!\[|\$\$|{_RULE}[{_SP}]*(?:[{_NL}]|$))"
 _ITEM = rf"[{_SP}]*\d{{1,3}}[.)] "
-_AT_LINE = rf"(?:^|[{_NL}])[{_SP}]{{0,8}}"
+#: Where a line begins, behind its indent.
+_AT_LINE = rf"(?:^|[{_NL}{INDENT}])"
 #: The first characters of a block of one line: heading, table row, image, formula.
 _ONE_LINE = rf"[#|!$](?<={_AT_LINE}[#|!$])(?:(?<=#)#{{0,5}} |(?<=\|)|(?<=!)\[|(?<=\$)\$)"
 
@@ -98,7 +105,7 @@ def _any(words: str) -> str:
 def _abbreviations() -> str:
     """A look-behind for each length, so that most words fail at their first letter."""
     words = sorted({f for w in ABBREVIATIONS for v in (w, w[0].upper() + w[1:]) for f in _forms(v)})
-    by_length = {n: "|".join(w.replace(".", r"[.\x01]") for w in words if len(w) == n) for n in sorted({len(w) for w in words})}
+    by_length = {n: "|".join(w.replace(".", rf"[.{MASK}]") for w in words if len(w) == n) for n in sorted({len(w) for w in words})}
     return "|".join(rf"(?<=(?<!{_WORD})(?:{alternatives})\.)" for alternatives in by_length.values())
 
 
@@ -107,7 +114,7 @@ def _inside(opener: str, marks: str, closing: str, last: bool) -> str:
 
     The match begins at the opening mark or where the one before it ended.
     """
-    start = rf"{opener}(?=[^{marks}\x02]{{1,400}}[{closing}])"
+    start = rf"{opener}(?=[^{marks}\x02]++[{closing}])"
     return rf"((?:\G(?!^)|{start})[^{marks}\x02{_TERM}]*)[{_TERM}]" + ("" if last else rf"(?![{_TERM}]*[{_SP}]?[{closing}])")
 
 
@@ -123,14 +130,17 @@ def _steps() -> list[tuple[str, str, Column | None]]:
     keep, mark = "$1" + MASK, "$1" + MARK
     east, thai, deva, arab = (F.col(c) for c in ("_east", "_thai", "_deva", "_arab"))
     breaks = [
+        # Indents get a sign of their own, so that one sign tells the beginning of a line whatever the indent.
+        (r"(?:\G|(?<=\n))[ \t\xa0]", INDENT, F.col("_m").rlike(r"(?:^|\n)[ \t\xa0]")),
         # Blank lines, lines that begin a block, blocks of one line, rules, numbered lists, lines of scripts without spaces.
         (rf"\n(?=[{_SP}]*\n)", BREAK, _has("\n")),
-        (rf"\n(?<=\x02[{_SP}]{{0,8}}\n)", BREAK, _has(BREAK)),
+        (rf"\n(?<=[\x02{INDENT}]\n)", BREAK, _has(BREAK)),
         (rf"\n(?={_BLOCK})", BREAK, _has("\n")),
         (rf"({_ONE_LINE}[^{_NL}]*)\n", "$1" + BREAK, _has("\n")),
         (rf"([-=_*](?<={_AT_LINE}[-=_*])(?:(?<=-)-{{2,}}|(?<==)={{2,}}|(?<=_)_{{2,}}|(?<=\*)\*{{2,}})[{_SP}]*)\n", "$1" + BREAK, _has("---", "===", "___", "***")),
-        (rf"((?:(?<![^\x02])(?={_ITEM})|\G(?!^))[^{_NL}]*(?:\n(?!{_ITEM})[^{_NL}]*){{0,40}})\n(?={_ITEM})", "$1" + BREAK, F.col("_m").rlike(rf"\n{_ITEM}")),
-        (rf"\n(?:(?=[{_SP}]*[{_CJK_ALL}{_THAI}])|(?<=[{_CJK_ALL}{_THAI}{_THAI_SIGNS}][{_SP}]{{0,3}}\n))", BREAK, (east | thai) & _has("\n")),
+        (rf"((?:(?<![^\x02])(?={_ITEM})|\G(?!^))[^{_NL}]*+(?:\n(?!{_ITEM})[^{_NL}]*+)*+)\n(?={_ITEM})", "$1" + BREAK, F.col("_m").rlike(rf"\n{_ITEM}")),
+        (rf"\n(?=[{_SP}]*[{_CJK_ALL}{_THAI}])", BREAK, (east | thai) & _has("\n")),
+        (rf"([{_CJK_ALL}{_THAI}{_THAI_SIGNS}][{_SP}]*+)\n", "$1" + BREAK, (east | thai) & _has("\n")),
     ]
     masks = [
         # Headings, table rows, images and formula lines are one unit each.
@@ -143,7 +153,7 @@ def _steps() -> list[tuple[str, str, Column | None]]:
             rf"|(?=[{_SP}])(?<=\d\.)(?<={_AT_LINE}\d{{1,3}}\.)"
             # initials: a capital before a capital; a small letter before one, unless it ends "a. m." or "t. d."
             rf"|(?=[{_WS}]*[\p{{Lu}}\p{{Lt}}])(?<=\p{{Lu}}\.)(?<!{_WORD}.\.)"
-            rf"|(?=[{_WS}]+\p{{Lu}})(?<=\p{{Ll}}\.)(?<![\p{{L}}\p{{N}}].\.)(?<!т[.\x01][{_WS}]{{0,2}}.\.)(?<!\p{{Ll}}[.\x01].\.)"
+            rf"|(?=[{_WS}]+\p{{Lu}})(?<=\p{{Ll}}\.)(?<![\p{{L}}\p{{N}}].\.)(?<!т[.{MASK}][{_WS}]{{0,2}}.\.)(?<!\p{{Ll}}[.{MASK}].\.)"
             rf"|(?=[{_WS}])(?<=[\p{{L}}\p{{M}}]\.)(?:{_abbreviations()})"
             # German ordinals
             rf"|(?=[{_WS}])(?<=\d\.)(?:(?<=\b(?:{_ORDINAL_BEFORE})[{_WS}]\d{{1,2}}\.)|(?=[{_WS}]+(?:{_any(_MONTHS)})\b)(?<=\b\d{{1,2}}\.))"
@@ -166,11 +176,11 @@ def _steps() -> list[tuple[str, str, Column | None]]:
         (rf"[{_TERM}](?=[\"\x10\xbb)]+[{_SP}]*\n?[{_SP}]*[{_DEVA}{_THAI}])", MASK, deva | thai),
         (rf"[!?](?=[\"\x10\xbb]+[{_WS}]+(?:\u062b\u0645|\u0648[{_ARAB}]+)[{_WS}])", MASK, arab),
         # An ellipsis that its sentence goes on behind: after an interjection or before a conjunction.
-        (rf"[.\x05](?=[.\x05]*[{_CJK}])(?<=(?:^|[\x07\x08\x0b\x10\x12\x14{_WS}\x02])[{_CJK}]{{1,2}}[.\x05]{{1,4}})", MASK, east & _has("...", chr(5))),
+        (rf"(?:(?=[.\x05]++[{_CJK}])(?<=(?:^|[\x07\x08\x0b\x10\x12\x14{_WS}\x02])[{_CJK}]{{1,2}})|\G(?!^))[.\x05]", MASK, east & _has("...", chr(5))),
         (rf"(?:\x05|\.(?:(?<=\.\.)|(?=\.\.)))(?=[.\x05]*(?:{_any(_CJK_ON)}))", MASK, east & _has("...", chr(5))),
         (rf"\.\.\.(?=[{_WS}]+[{_ARAB}{_DEVA}])", MASK * 3, (arab | deva) & _has("...")),
         # Thai enumerations before "and so on".
-        (rf"[{_SP}](?=[{_THAI}]{{1,5}}(?:[{_SP}][{_THAI}]{{1,5}}){{0,8}}[{_SP}]\u0e2f\u0e25\u0e2f)", MASK, thai & _has("\u0e2f\u0e25\u0e2f")),
+        (rf"((?<![{_SP}][{_THAI}]{{1,5}})(?=[{_SP}][{_THAI}]{{1,5}}(?:[{_SP}][{_THAI}]{{1,5}})*+[{_SP}]\u0e2f\u0e25\u0e2f)|\G(?!^)[{_THAI}]{{1,5}})[{_SP}](?=[{_THAI}])", keep, thai & _has("\u0e2f\u0e25\u0e2f")),
     ]
     ends = [
         (
@@ -220,32 +230,56 @@ def _prefix_sums(lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, F.concat(F.array(zero), starts), lambda b, s: F.when(b.isNotNull(), running(b, s)).otherwise(F.array().cast("array<bigint>"))))
 
 
-def sentence_units(cells: DataFrame, text: str = "cell_text") -> DataFrame:
+def _cut(text: Column, starts: Column, lengths: Column) -> Column:
+    """``text`` cut at ascending places (from 0), in blocks of 64 pieces: each piece is sought in its block only, not from the text's start."""
+    size = 64
+    blocks = F.transform(
+        F.filter(F.sequence(F.lit(0), F.floor((F.size(starts) - 1) / size).cast("int")), lambda b: F.size(starts) > 0),
+        lambda b: F.struct(F.slice(starts, b * size + 1, size).alias("s"), F.slice(lengths, b * size + 1, size).alias("n")),
+    )
+    first = lambda b: F.array_min(b["s"])
+    last = lambda b: F.array_max(F.zip_with(b["s"], b["n"], lambda s, n: s + n))
+    held = F.transform(blocks, lambda b: F.struct(b["s"].alias("s"), b["n"].alias("n"), first(b).alias("lo"), F.substring(text, (first(b) + 1).cast("int"), (last(b) - first(b)).cast("int")).alias("t")))
+    return F.flatten(F.transform(held, lambda b: F.zip_with(b["s"], b["n"], lambda s, n: F.substring(b["t"], (s - b["lo"] + 1).cast("int"), n.cast("int")))))
+
+
+def sentence_units(cells: DataFrame, text: str = "cell_text", sentence: str | None = None) -> DataFrame:
     """One row per sentence of each row's ``text``: the row's other columns, ``start`` and ``end`` (characters from the start of the text, end exclusive).
 
-    Null, empty and blank texts give no rows; units without a letter or digit (lines of dashes) are
-    left out; white space never begins or ends a unit. Every row is treated on its own, so repeated
-    rows repeat their sentences. Columns named like the helper columns are not allowed to clash:
-    all helpers begin with an underscore.
+    With ``sentence`` a column of that name holds the sentence as it stands in the text, so no join
+    with the text is needed. Null, empty and blank texts give no rows; units without a letter or digit
+    (lines of dashes) are left out; white space never begins or ends a unit. Every row is treated on
+    its own, so repeated rows repeat their sentences. Columns named like the helper columns are not
+    allowed to clash: all helpers begin with an underscore.
     """
     keep = [c for c in cells.columns if c != text]
     trail = rf"[{_WS}{_NL}]+$"
-    pieces = masked(cells.filter(F.col(text).isNotNull()), text).select(*keep, F.split("_m", MARK).alias("_pieces"))
-    pieces = pieces.withColumn("_ends", _prefix_sums(F.transform("_pieces", lambda p: F.length(p).cast("bigint"))))
-    rows = pieces.select(*keep, F.explode(F.arrays_zip("_pieces", "_ends")).alias("_z"))
-    rows = rows.select(*keep, F.col("_z._pieces").alias("_piece"), F.col("_z._ends").alias("_end")).filter(F.col("_piece").rlike(r"[\p{L}\p{N}]"))
+    pieces = masked(cells.filter(F.col(text).isNotNull()), text).select(*keep, F.split("_m", MARK).alias("_pieces"), *([F.col(text).alias("_text")] if sentence else []))
+    lengths = F.transform("_pieces", lambda p: F.length(p).cast("bigint"))
+    pieces = pieces.withColumn("_ends", _prefix_sums(lengths))
+    zipped = ["_pieces", "_ends"]
+    if sentence:
+        starts = F.zip_with("_ends", lengths, lambda e, n: e - n)
+        pieces = pieces.withColumn("_raw", _cut(F.col("_text"), starts, lengths)).drop("_text")
+        zipped.append("_raw")
+    rows = pieces.select(*keep, F.explode(F.arrays_zip(*zipped)).alias("_z"))
+    rows = rows.select(*keep, F.col("_z._pieces").alias("_piece"), F.col("_z._ends").alias("_end"), *([F.col("_z._raw").alias("_raw")] if sentence else [])).filter(F.col("_piece").rlike(r"[\p{L}\p{N}]"))
     body = F.regexp_replace("_piece", F.lit(trail), F.lit(""))
     lead = F.length("_piece") - F.length(F.regexp_replace("_piece", F.lit(rf"^[{_WS}{_NL}]+"), F.lit("")))
-    return rows.select(*keep, (F.col("_end") - F.length("_piece") + lead).cast("bigint").alias("start"), (F.col("_end") - F.length("_piece") + F.length(body)).cast("bigint").alias("end"))
+    own = [F.substring("_raw", lead + 1, F.length(body) - lead).alias(sentence)] if sentence else []
+    return rows.select(*keep, (F.col("_end") - F.length("_piece") + lead).cast("bigint").alias("start"), (F.col("_end") - F.length("_piece") + F.length(body)).cast("bigint").alias("end"), *own)
 
 
-def document_sentences(docs: DataFrame, kind: str = "text") -> DataFrame:
+def document_sentences(docs: DataFrame, kind: str = "text", sentence: str | None = None) -> DataFrame:
     """(doc_id, start_pos, end_pos) of each sentence in the cells of a kind; positions in characters of ``text``.
 
-    Null texts or cells, cells of other kinds and cells beyond the text give no rows. Each cell is
-    its own row while it is split, so the tasks of a document with many cells can be spread.
+    With ``sentence`` a column of that name holds the sentence itself. Null texts or cells, cells of
+    other kinds and cells beyond the text give no rows. Each cell is its own row while it is split, so
+    the tasks of a document with many cells can be spread.
     """
-    wanted = F.transform(F.filter("cells", lambda c: (c["kind"] == kind) & (c["n"] > 0)), lambda c: F.struct(c["pos"].cast("bigint").alias("pos"), F.substring("text", c["pos"] + 1, c["n"]).alias("cell_text")))
-    cells = docs.filter("text is not null").select("doc_id", F.explode(wanted).alias("c")).select("doc_id", "c.pos", "c.cell_text")
-    units = sentence_units(cells)
-    return units.select("doc_id", (F.col("pos") + F.col("start")).alias("start_pos"), (F.col("pos") + F.col("end")).alias("end_pos"))
+    wanted = F.array_sort(F.transform(F.filter("cells", lambda c: (c["kind"] == kind) & (c["n"] > 0) & (c["pos"] >= 0)), lambda c: F.struct(c["pos"].cast("bigint").alias("pos"), c["n"].cast("bigint").alias("n"))))
+    rows = docs.filter("text is not null").select("doc_id", "text", wanted.alias("_c")).filter("size(_c) > 0")
+    texts = _cut(F.col("text"), F.transform("_c", lambda c: c["pos"]), F.transform("_c", lambda c: c["n"]))
+    cells = rows.select("doc_id", F.explode(F.arrays_zip(F.col("_c").alias("c"), texts.alias("t"))).alias("z")).select("doc_id", F.col("z.c.pos").alias("pos"), F.col("z.t").alias("cell_text"))
+    units = sentence_units(cells, sentence=sentence)
+    return units.select("doc_id", (F.col("pos") + F.col("start")).alias("start_pos"), (F.col("pos") + F.col("end")).alias("end_pos"), *([sentence] if sentence else []))

@@ -56,3 +56,42 @@ def test_long_texts_and_private_signs(spark):
     assert n == 3000
     rows = [("x" * 200_000 + ".",), ("\n" * 5000,), ("1. a\n" * 3000,), ('"' * 3000,), ("(" * 3000 + ".",), ("." * 5000 + " A",), ("a.b" * 5000,)]
     assert spark.createDataFrame(rows, "cell_text string").transform(sentence_units).count() >= 3000
+
+
+def units(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, cell_text string").transform(lambda df: sentence_units(df, sentence="s")).collect()
+    for r in rows:
+        assert texts[r.id][r.start : r.end] == r.s
+    return [[r.s for r in sorted((x for x in rows if x.id == i), key=lambda x: x.start)] for i in range(len(texts))]
+
+
+def test_nothing_is_too_long_for_a_pattern(spark):
+    filler = "very " * 1000 + "long"
+    listed = "\n".join(["1. An entry", *["that goes on"] * 200, "2. The next"])
+    thai = "ลม " * 40 + "ฯลฯ ในตัวอย่าง"
+    indented = "\n".join(" " * 20 + line for line in ("Text before", "# Heading v. 2", "- one", "- two", "Last line"))
+    got = units(
+        spark,
+        [
+            f'She said "Stop. It is {filler}. Go!" and left. Then nothing.',
+            f"It works (see there. It is {filler}. Really) at last. Then nothing.",
+            listed,
+            indented,
+            "一行" + " " * 50 + "\n二行",
+            "มีทั้ง " + thai,
+            "嗯" + "." * 12 + "他走了。好。",
+            "\xa0" * 30 + "1. Some title. With more\n" + " " * 300 + "\n" + "End here",
+        ],
+    )
+    assert [len(x) for x in got] == [2, 2, 2, 4, 2, 1, 2, 3]
+    assert got[3][1:3] == ["# Heading v. 2", "- one"] and got[2][1] == "2. The next" and len(got[5][0]) == len("มีทั้ง " + thai)
+
+
+def test_many_sentences_and_cells(spark):
+    text = "ä. ".join(f"Satz {i} geht" for i in range(700))
+    cells = [("text", 3 + 20 * i, 15, None) for i in range(300, -1, -1)]
+    (got,) = units(spark, [text])
+    assert len(got) == 700 and got[5] == "Satz 5 gehtä."
+    df = spark.createDataFrame([(1, text, cells)], "doc_id long, text string, cells array<struct<kind string, pos int, n int, exec_no int>>")
+    rows = document_sentences(df, sentence="s").collect()
+    assert len(rows) >= 300 and all(text[r.start_pos : r.end_pos] == r.s for r in rows)
