@@ -14,39 +14,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.session import distributed_rank
+from quantloom.session import broadcast_if_small, distributed_rank, stage
 
 #: Limits, overlaps and cohesion blocks of the two kinds of lists.
 SAMPLE_LIMIT, SAMPLE_OVERLAP, SAMPLE_BLOCK = 256, 32, 32
 HISTORY_LIMIT, HISTORY_OVERLAP, HISTORY_BLOCK = 20, 4, 4
 #: Boundaries whose blocks are compared at a time; bounds the memory of a very long list.
-CHUNK = 1_024
+CHUNK = 512
+#: Special id ranges that the driver reads; a larger table raises an error.
+MOST_ROLES = 10_000
 
 _PIECES = "piece int, start int, tokens array<long>"
 
 
-def cohesion(tokens: np.ndarray, places: np.ndarray, block: int) -> np.ndarray:
-    """Cosine of the token counts of the ``block`` tokens before and behind each place."""
+def cohesion(tokens: np.ndarray, places: np.ndarray, block: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """Cosine of the token counts of the ``block`` tokens before and behind each place.
+
+    ``low`` and ``high`` bound the record that each place lies in, so many records can be looked at in one
+    flat array. Equal tokens are counted place by place in small windows; memory does not grow with a list.
+    """
     out = np.zeros(len(places))
+    low = np.zeros(len(places), dtype=np.int64) if low is None else low
+    high = np.full(len(places), len(tokens), dtype=np.int64) if high is None else high
+    step = np.arange(block)
     for k in range(0, len(places), CHUNK):
-        part = places[k : k + CHUNK]
-        # Places far apart are compared one window each, so the window never holds more than the blocks.
-        lo, hi = max(0, int(part[0]) - block), min(len(tokens), int(part[-1]) + block)
-        if hi - lo > 4 * CHUNK and len(part) > 1:
-            half = len(part) // 2
-            out[k : k + half] = cohesion(tokens, part[:half], block)
-            out[k + half : k + len(part)] = cohesion(tokens, part[half:], block)
-            continue
-        words, index = np.unique(tokens[lo:hi], return_inverse=True)
-        counts = np.zeros((hi - lo + 1, len(words)), dtype=np.int32)
-        counts[np.arange(1, hi - lo + 1), index] = 1
-        np.cumsum(counts, axis=0, out=counts)
-        at = part - lo
-        mid = counts[at]
-        left = (mid - counts[np.maximum(0, at - block)]).astype(np.float64)
-        right = (counts[np.minimum(hi - lo, at + block)] - mid).astype(np.float64)
-        norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-        out[k : k + CHUNK] = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-12), 0.0)
+        at = places[k : k + CHUNK, None]
+        i, j = at - 1 - step, at + step
+        there, here = i >= low[k : k + CHUNK, None], j < high[k : k + CHUNK, None]
+        last = max(len(tokens) - 1, 0)
+        # Places outside the record hold numbers that no token has and that differ between the sides.
+        left = np.where(there, tokens[np.clip(i, 0, last)], -(10**12)) if len(tokens) else np.full(i.shape, -(10**12))
+        right = np.where(here, tokens[np.clip(j, 0, last)], -(10**12) - 1) if len(tokens) else np.full(j.shape, -(10**12) - 1)
+        same = lambda a, b: (a[:, :, None] == b[:, None, :]).sum((1, 2))
+        norm = np.sqrt(((same(left, left) - (~there).sum(1) ** 2) * (same(right, right) - (~here).sum(1) ** 2)).astype(np.float64))
+        out[k : k + CHUNK] = np.where(norm > 0, same(left, right) / np.maximum(norm, 1e-12), 0.0)
     return out
 
 
@@ -54,26 +55,27 @@ def valley_depths(similarity: np.ndarray) -> np.ndarray:
     """How far each place lies below the peaks that are reached going uphill on either side."""
 
     def peaks(values: np.ndarray) -> np.ndarray:
-        out = values.copy()
-        for i in range(1, len(values)):
-            if values[i - 1] >= values[i]:
-                out[i] = out[i - 1]
-        return out
+        rises = np.flatnonzero(np.append(True, values[1:] > values[:-1]))  # the peak behind is where the descent began
+        return values[rises[np.searchsorted(rises, np.arange(len(values)), side="right") - 1]]
 
+    if not len(similarity):
+        return similarity
     return peaks(similarity) + peaks(similarity[::-1])[::-1] - 2 * similarity
 
 
-def split_points(tokens: np.ndarray, ends: np.ndarray, limit: int, overlap: int, block: int, atoms: np.ndarray | None = None) -> list[tuple[int, int]]:
+def split_points(tokens: np.ndarray, ends: np.ndarray, limit: int, overlap: int, block: int, atoms: np.ndarray | None = None, depth: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(start, end) of each piece. ``ends``: sorted positions behind which a natural unit ends.
 
     A piece ends at the deepest valley among the ends in the second half of its reach, else among all
     ends in its reach that leave room for the overlap (ties: the later one), else at the limit, but not
     inside an item block: ``atoms`` gives, for each position, where the block around it begins.
+    ``depth``: the valley depths of the ends, if they are known already.
     """
     n = len(tokens)
     if n <= limit:
         return [(0, n)]
-    depth = valley_depths(cohesion(tokens, ends, block)) if len(ends) else np.zeros(0)
+    if depth is None:
+        depth = valley_depths(cohesion(tokens, ends, block))
     out, start, done = [], 0, overlap
     while n - start > limit:
         reach = start + limit
@@ -94,26 +96,43 @@ def split_points(tokens: np.ndarray, ends: np.ndarray, limit: int, overlap: int,
     return out
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a list column (nulls as -1), which of them are there, and the offsets of the rows."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    return values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), values.is_valid().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
 def _splitter(limit: int, overlap: int, block: int, prepare):
-    """Rows (key columns, tokens, extra): ``prepare(tokens, extra)`` gives the tokens, the natural ends and the atoms."""
+    """Rows (key columns, tokens, extra): ``prepare(tokens, extra)`` gives for each row its tokens, natural ends and atoms."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rows, pieces, starts, values = [], [], [], []
-                for i in range(part.num_rows):
-                    tokens = np.asarray(part.column(len(names) - 2)[i].as_py() or [], dtype=object)
-                    tokens, ends, atoms = prepare(tokens, part.column(len(names) - 1)[i].as_py())
-                    for j, (s, e) in enumerate(split_points(tokens, ends, limit, overlap, block, atoms)):
+                records = prepare(part.column(len(names) - 2), part.column(len(names) - 1))
+                sizes = np.array([len(t) for t, _, _ in records])
+                first = np.cumsum(sizes) - sizes
+                tokens = np.concatenate([t for t, _, _ in records])
+                n_ends = np.array([len(e) for _, e, _ in records])
+                row = np.repeat(np.arange(len(records)), n_ends)
+                places = np.concatenate([e for _, e, _ in records]).astype(np.int64) + first[row]
+                similar = cohesion(tokens, places, block, first[row], first[row] + sizes[row])
+                rows, pieces, starts, lengths, values, at = [], [], [], [], [], 0
+                for i, (own, ends, atoms) in enumerate(records):
+                    depth = valley_depths(similar[at : at + len(ends)])
+                    at += len(ends)
+                    for j, (s, e) in enumerate(split_points(own, ends, limit, overlap, block, atoms, depth)):
                         rows.append(i)
                         pieces.append(j)
                         starts.append(s)
-                        values.append(tokens[s:e])
+                        lengths.append(e - s)
+                        values.append(own[s:e])
                 take = pa.array(rows, pa.int64())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c).take(take) for c in range(len(names) - 2)], pa.array(pieces, pa.int32()), pa.array(starts, pa.int32()), pa.array([v.tolist() for v in values], pa.list_(pa.int64()))],
+                    [*[part.column(c).take(take) for c in range(len(names) - 2)], pa.array(pieces, pa.int32()), pa.array(starts, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values).astype(np.int64)))],
                     names=[*names[:-2], "piece", "start", "tokens"],
                 )
 
@@ -121,8 +140,11 @@ def _splitter(limit: int, overlap: int, block: int, prepare):
 
 
 def token_ranges(roles: DataFrame) -> dict[str, tuple[int, int]]:
-    """The special id ranges; a fixed table of a few rows."""
-    return {r.token_role: (r.first_id, r.last_id) for r in roles.select("token_role", "first_id", "last_id").limit(64).collect()}
+    """The special id ranges: a fixed table of a few rows; a table of more than ``MOST_ROLES`` is refused, not cut."""
+    rows = roles.select("token_role", "first_id", "last_id").limit(MOST_ROLES + 1).collect()
+    if len(rows) > MOST_ROLES:
+        raise ValueError(f"more than {MOST_ROLES} special id ranges")
+    return {r.token_role: (r.first_id, r.last_id) for r in rows}
 
 
 def _sample_ends(ranges: dict[str, tuple[int, int]]):
@@ -134,20 +156,27 @@ def _sample_ends(ranges: dict[str, tuple[int, int]]):
     def within(tokens: np.ndarray, bounds: tuple[int, int]) -> np.ndarray:
         return (tokens >= bounds[0]) & (tokens <= bounds[1])
 
-    def prepare(tokens: np.ndarray, _) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        tokens = np.array([-1 if t is None else t for t in tokens], dtype=np.int64)
+    def one(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         real = np.flatnonzero(~within(tokens, pad))
         tokens = tokens[real[0] : real[-1] + 1] if len(real) else tokens[:0]
         ends = np.zeros(len(tokens) + 1, dtype=bool)
         for bounds in closing:
             ends[1:] |= within(tokens, bounds)
         atoms = np.arange(len(tokens) + 1)
-        for s in np.flatnonzero(within(tokens, opening)):
-            stop = next((e for e in range(s + 1, min(s + width, len(tokens))) if within(tokens[e : e + 1], item_end)[0]), None)
-            if stop is not None:
-                atoms[s : stop + 1] = s
+        begin, stops = np.flatnonzero(within(tokens, opening)), np.flatnonzero(within(tokens, item_end))
+        if len(begin) and len(stops):
+            k = np.searchsorted(stops, begin, side="right")
+            stop = np.where(k < len(stops), stops[np.minimum(k, len(stops) - 1)], len(tokens) + width)
+            begin, stop = begin[stop < begin + width], stop[stop < begin + width]
+            for step in range(width - 1, -1, -1):
+                inside = begin + step <= stop
+                atoms[begin[inside] + step] = begin[inside]
         return tokens, np.flatnonzero(ends), atoms
 
+    def prepare(lists: pa.Array, _) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        values, _, at = _flat(lists)
+        return [one(values[at[i] : at[i + 1]]) for i in range(len(lists))]
+
     return prepare
 
 
@@ -190,13 +219,35 @@ def _places(items: list, seen: dict[int, int]) -> np.ndarray:
     return out
 
 
-def _history_ends(items: np.ndarray, found: list | None) -> tuple[np.ndarray, np.ndarray, None]:
-    seen = {x["pos"]: (x["item"], x["session_id"]) for x in found or []}
-    places = _places(list(items), {p: x for p, (x, _) in seen.items()})
-    values = [x for x in items if x is not None]
-    session = [s if item == x else None for x, (item, s) in zip(values, (seen.get(int(p), (None, None)) for p in places))]
-    ends = [i for i in range(1, len(values)) if session[i] is not None and session[i - 1] is not None and session[i] != session[i - 1]]
-    return np.array(values, dtype=np.int64), np.array(ends, dtype=np.int64), None
+def _session_ends(values: np.ndarray, known: np.ndarray, pos: np.ndarray, item: np.ndarray, session: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
+    """A history with its nulls; of its interactions the position, item and session, and whether the session is told."""
+    if known.all():
+        places = np.arange(len(values))
+    else:
+        places = _places([v if k else None for v, k in zip(values.tolist(), known)], dict(zip(pos.tolist(), item.tolist())))
+    kept = values[known]
+    order = np.argsort(pos, kind="stable")
+    pos, item, session, told = pos[order], item[order], session[order], told[order]
+    k = np.minimum(np.searchsorted(pos, places), max(len(pos) - 1, 0))
+    if not len(pos):
+        return kept, np.zeros(0, dtype=np.int64), None
+    sure = (pos[k] == places) & (item[k] == kept) & told[k]
+    change = sure[1:] & sure[:-1] & (session[k][1:] != session[k][:-1])
+    return kept, np.flatnonzero(change) + 1, None
+
+
+def _history_ends(lists: pa.Array, found: pa.Array) -> list[tuple[np.ndarray, np.ndarray, None]]:
+    values, known, at = _flat(lists)
+    lengths = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    edge = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    flat = found.flatten()
+    column = lambda name: flat.field(name).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    pos, item, session, told = column("pos"), column("item"), column("session_id"), flat.field("session_id").is_valid().to_numpy(zero_copy_only=False)
+    out = []
+    for i in range(len(lists)):
+        own, there = slice(at[i], at[i + 1]), slice(edge[i], edge[i + 1])
+        out.append(_session_ends(values[own], known[own], pos[there], item[there], session[there], told[there]))
+    return out
 
 
 def split_samples(samples: DataFrame, roles: DataFrame, limit: int = SAMPLE_LIMIT, overlap: int = SAMPLE_OVERLAP, block: int = SAMPLE_BLOCK) -> DataFrame:
@@ -256,9 +307,19 @@ def _check(limit: int, overlap: int) -> None:
 
 
 def _once(rows: DataFrame, *more: str) -> DataFrame:
-    """One list for each record, with the columns ``more`` of its row."""
-    rows = rows.withColumn("_best", F.struct(F.size(F.coalesce("ids", F.array().cast("array<long>"))).alias("n"), F.xxhash64("ids").alias("h"), F.col("ids").alias("ids"), *more))
-    return rows.groupBy("rec_id", "split").agg(F.max("_best").alias("_best")).select("rec_id", "split", "_best.ids", *[f"_best.{c}" for c in more])
+    """One list for each record, with the columns ``more`` of its row: the longest, ties by content.
+
+    Only records that come more than once are compared; a count by key, combined in the mapper,
+    finds them, so the lists of the others are neither sorted nor moved.
+    """
+    repeated = stage(rows.groupBy("rec_id", "split").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rec_id").alias("_rec"), F.col("split").alias("_split")))
+    same = (F.col("rec_id") == F.col("_rec")) & F.col("split").eqNullSafe(F.col("_split"))
+    size = repeated.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_split")), F.lit(0))).first()
+    repeated = broadcast_if_small(repeated, 1, 64 * size[0] + size[1])
+    alone = rows.join(repeated, same, "left_anti")
+    best = F.struct(F.size(F.coalesce("ids", F.array().cast("array<long>"))).alias("n"), F.xxhash64("ids").alias("h"), F.col("ids").alias("ids"), *more)
+    again = rows.join(repeated, same, "left_semi").withColumn("_best", best).groupBy("rec_id", "split").agg(F.max("_best").alias("_best"))
+    return alone.select("rec_id", "split", "ids", *more).unionByName(again.select("rec_id", "split", "_best.ids", *[f"_best.{c}" for c in more]))
 
 
 def split_records(samples: DataFrame, history: DataFrame, interactions: DataFrame, roles: DataFrame) -> DataFrame:

@@ -128,6 +128,14 @@ def test_places():
     assert S._places([100, None], {}).tolist() == [0] and S._places([None], seen).tolist() == [] and S._places([], seen).tolist() == []
 
 
+def test_many_ranges(spark, monkeypatch):
+    roles = spark.createDataFrame([(*ROLES[i % len(ROLES)][:1], i, i) for i in range(300)], "token_role string, first_id int, last_id int")
+    assert len(S.token_ranges(roles)) == len(ROLES)
+    monkeypatch.setattr(S, "MOST_ROLES", 299)
+    with pytest.raises(ValueError):
+        S.token_ranges(roles)
+
+
 def test_bad_overlap(spark):
     with pytest.raises(ValueError):
         S._check(10, 5)
