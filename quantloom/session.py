@@ -33,11 +33,14 @@ def staging_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quantloom/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it (column pruning and pushdown still apply)."""
+def stage(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it (column pruning and pushdown still apply).
+
+    With columns ``by``, its last ones, a filter on them reads its own files only.
+    """
     spark = df.sparkSession
     path = f"{staging_path(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
