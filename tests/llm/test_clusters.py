@@ -33,7 +33,7 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize(("seed", "spread", "d"), [(1, 0.03, 64), (4, 0.3, 3)])
 def test_complete_clusters(spark, monkeypatch, seed, spread, d):
-    monkeypatch.setattr(C, "BLOCK_LEAVES", 48)
+    monkeypatch.setattr(C, "MEET_LEAVES", 48)
     monkeypatch.setattr(C, "BLOCK_ITEMS", 8)
     x = data(seed, d, spread).astype(np.float32).astype(np.float64)
     rows = [(i * 3, x[i].tolist(), None, "x") for i in range(len(x))]
@@ -59,9 +59,9 @@ def test_typical_items_of_a_cut_cluster(spark, monkeypatch):
     x = np.concatenate([c + rng.normal(size=(20, 64)) * 0.045 for c in centres])
     rows = [(i, v.tolist(), None, "x") for i, v in enumerate(x)]
     vectors = C.unit_vectors(frame(spark, rows))
-    assert C.assign_leaves(vectors, 0.82).select("node", "leaf").distinct().count() > 6  # the tree cuts them
-    got = C.similarity_clusters(frame(spark, rows))
-    u = {r.item_id: np.array(r.vec) for r in vectors.collect()}
+    assert C.assign_leaves(vectors, 0.82, 30)[1].count() > 6  # the tree cuts them
+    got = C.similarity_clusters(frame(spark, rows), node_items=30)
+    u = {r.item_id: np.array(r.vec) / np.linalg.norm(r.vec) for r in vectors.collect()}
     members = {}
     for r in got.collect():
         members.setdefault((r.cluster_id, r.complete), {})[r.item_id] = r.cosine
@@ -93,7 +93,36 @@ def test_large_compact_node_is_not_gathered(spark):
     c = rng.normal(size=64)
     rows = [(i, (c + rng.normal(size=64) * 0.01).tolist(), None, "x") for i in range(150)] + [(1000 + i, rng.normal(size=64).tolist(), None, "x") for i in range(50)]
     vectors = C.unit_vectors(frame(spark, rows))
-    _, leaves = C.bisecting_tree(vectors, 0.82, 100)
-    assert any(leaves.values())
-    sizes = [r["count"] for r in C.assign_leaves(vectors, 0.82, 100).groupBy("node", "leaf").count().collect()]
-    assert sum(sizes) == 200
+    items, leaves = C.assign_leaves(vectors, 0.82, 100)
+    figures = {r.leaf: r for r in leaves.collect()}
+    assert any(r.n > 60 and k & C._WIDE for k, r in figures.items()) and sum(r.n for r in figures.values()) == 200
+    members = {}
+    for r in items.collect():
+        members.setdefault(r.leaf, []).append((r.item_id, r.h, np.array(r.vec, dtype=float)))
+    for k, v in members.items():
+        u = np.stack([x / np.linalg.norm(x) for _, _, x in v])
+        centre = u.sum(0) / np.linalg.norm(u.sum(0))
+        r = figures[k]
+        assert (r.n, r.least, r.hx) == (len(v), min(i for i, _, _ in v), int(np.bitwise_xor.reduce([h for _, h, _ in v])))
+        assert abs(r.low - (u @ centre).min()) < 1e-6 and np.allclose(r.centre, centre, atol=1e-6)
+    got = C.similarity_clusters(frame(spark, rows), node_items=100).collect()
+    assert {r.cluster_id for r in got if r.item_id < 1000 and r.complete and r.size == 150} == {0}
+
+
+@pytest.mark.parametrize(("trees", "pass_nodes"), [(1, 3), (3, 4), (2, 2_048)])
+def test_every_row_comes_to_one_node_of_each_tree(spark, trees, pass_nodes):
+    rng = np.random.default_rng(6)
+    rows = [(i, i, rng.normal(size=8).tolist()) for i in range(300)] + [(300 + i, i, [1.0] * 8) for i in range(60)]
+    df = spark.createDataFrame(rows, "item_id long, h long, vec array<float>").repartition(4)
+    got = C.grow(df, ["item_id", "h"], 0.95, 20, 8, trees, pass_nodes=pass_nodes).collect()
+    assert len(got) == 360 * trees
+    nodes = {}
+    for r in got:
+        nodes.setdefault((r.node, r.state), []).append(r)
+    assert len({k for k, _ in nodes}) == len(nodes) and len(nodes) > 15 * trees
+    for (_, leaf), v in nodes.items():
+        u = np.stack([np.array(r.vec) / np.linalg.norm(r.vec) for r in v])
+        assert len(v) <= 20 if leaf < 0 else (u @ u.T).min() > 2 * 0.95**2 - 1 - 1e-6
+    copies = [r for r in got if r.item_id >= 300]
+    assert len({r.node for r in copies}) == trees and all(r.state == 0 for r in copies)
+    assert C.grow(df.limit(0), ["item_id", "h"], 0.95, 20, 8).count() == 0
