@@ -39,6 +39,19 @@ def test_keyed_quantiles(spark, broadcast_bytes):
         want = [known[max(1, math.ceil(p * len(known) - 1e-9)) - 1] if known else None for p in (0.0, 0.5, 0.9, 1.0)]
         assert [got[k][f"q{i}"] for i in range(4)] == want and got[k].n_rows == len(values) and got[k].n_values == len(known)
     assert K.keyed_quantiles(df.limit(0), ["k"], "v").count() == 0
+    bare = K.keyed_quantiles(df, ["k"], "v", ()).collect()
+    assert {r.k: (r.n_rows, r.n_values) for r in bare} == {k: (r.n_rows, r.n_values) for k, r in got.items()}
+    with pytest.raises(TypeError):
+        K.keyed_quantiles(df.withColumn("v", F.lit(0.5)), ["k"], "v")
+
+
+def test_long_text_keys_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    refine = K._refine
+    monkeypatch.setattr(K, "_refine", lambda *a: seen.append(a[-1]) or refine(*a))
+    df = spark.createDataFrame([("k" * 5000 + str(i % 3), i * i) for i in range(60)], "k string, v long")
+    got = {r.k[-1]: r.q0 for r in K.keyed_quantiles(df, ["k"], "v", (0.5,), broadcast_bytes=9_000).collect()}
+    assert got == {str(j): sorted(i * i for i in range(60) if i % 3 == j)[9] for j in range(3)} and seen and not any(seen)
 
 
 def test_distributed_rank(spark):
