@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.session import stage
+from quantloom.session import BROADCAST_BYTES, broadcast_if_small, stage
 
 #: Items of a block of a session; sessions up to this size are one block.
 BLOCK_ITEMS = 256
-#: Blocks that the neighbours of an item are spread over, so that a hot item is merged by many tasks.
-NEIGHBOUR_BLOCKS = 16
+#: Blocks that the neighbours of an item are spread over, so that a hot item is merged by many tasks: at
+#: least so many, and one for each so many distinct items, up to so many.
+LEAST_BLOCKS, BLOCK_NEIGHBOURS, MOST_BLOCKS = 16, 8_192, 4_096
+#: An item is hot with this share of all places in baskets, so there are at most 1,024; and salts of a hot item in joins.
+HOT_SHARE, SALTS = 1 / 1_024, 64
 #: Pairs a mapper combines at a time.
 COMBINE_PAIRS = 1_000_000
 
@@ -41,13 +44,13 @@ def _combined(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tupl
     return a[starts], b[starts], counts.astype(np.int64)
 
 
-def _block(b: np.ndarray) -> np.ndarray:
-    return ((b * 0x9E3779B1) >> 7) % NEIGHBOUR_BLOCKS
+def _block(b: np.ndarray, blocks: int) -> np.ndarray:
+    return ((b * 0x9E3779B1) >> 7) % blocks
 
 
-def _stripes(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _stripes(a: np.ndarray, b: np.ndarray, blocks: int) -> pa.RecordBatch:
     a, b, n = _combined(a, b)
-    block = _block(b)
+    block = _block(b, blocks)
     order = np.lexsort((b, block, a))
     a, b, n, block = a[order], b[order], n[order], block[order]
     new = np.ones(len(a), dtype=bool)
@@ -57,7 +60,7 @@ def _stripes(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(block[starts].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(b)), pa.ListArray.from_arrays(offsets, pa.array(n))], names=["item_a", "block", "neighbours", "counts"])
 
 
-def _map_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _map_stripes(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
     """Rows (lhs, rhs): pairs within lhs if rhs is null, else between the two; both hold distinct items of one session."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -77,7 +80,7 @@ def _map_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((items[:, i].ravel(), items[:, j].ravel()))
                 size += len(held[-1][0])
                 if size >= COMBINE_PAIRS:
-                    yield _stripes(*map(np.concatenate, zip(*held)))
+                    yield _stripes(*map(np.concatenate, zip(*held)), blocks)
                     held, size = [], 0
         for r in np.flatnonzero(~alone):
             x, y = lhs[int(r)].values.to_numpy(), rhs[int(r)].values.to_numpy()
@@ -85,13 +88,13 @@ def _map_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((np.minimum(p, q), np.maximum(p, q)))
             size += len(p)
             if size >= COMBINE_PAIRS:
-                yield _stripes(*map(np.concatenate, zip(*held)))
+                yield _stripes(*map(np.concatenate, zip(*held)), blocks)
                 held, size = [], 0
     if held:
-        yield _stripes(*map(np.concatenate, zip(*held)))
+        yield _stripes(*map(np.concatenate, zip(*held)), blocks)
 
 
-def _merger(min_count: int):
+def _merger(min_count: int, blocks: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stripes sorted by item and block; the last key of a batch may go on in the next."""
         kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -110,9 +113,9 @@ def _merger(min_count: int):
                     a, b, n = np.concatenate([kept[0], a]), np.concatenate([kept[1], b]), np.concatenate([kept[2], n])
                 if not len(a):
                     continue
-                last_a, last_block = a[-1], _block(b[-1:])[0]
+                last_a, last_block = a[-1], _block(b[-1:], blocks)[0]
                 a, b, n = _combined(a, b, n)
-                open_ = (a == last_a) & (_block(b) == last_block)
+                open_ = (a == last_a) & (_block(b, blocks) == last_block)
                 yield out(a[~open_], b[~open_], n[~open_])
                 kept = a[open_], b[open_], n[open_]
         if kept is not None:
@@ -121,12 +124,13 @@ def _merger(min_count: int):
     return merge
 
 
-def cooccurring_items(interactions: DataFrame, basket: str = "session_id", item: str = "item_id", min_count: int = 1, min_share: float = 0.0, min_lift: float = 0.0) -> DataFrame:
+def cooccurring_items(interactions: DataFrame, basket: str = "session_id", item: str = "item_id", min_count: int = 1, min_share: float = 0.0, min_lift: float = 0.0, min_llr: float = 0.0) -> DataFrame:
     """Pairs of items that occur in the same basket.
 
     Columns: ``item_a`` < ``item_b``, ``n_ab`` (baskets with both), ``n_a``, ``n_b`` (baskets with
     each), ``n`` (all baskets), ``lift`` = n_ab * n / (n_a * n_b), ``llr`` = the log-likelihood ratio
-    of the two-by-two table.
+    of the two-by-two table. With ``min_llr`` only pairs that occur together significantly more often
+    than chance come out: those with a lift over 1 and that ratio or more (10.83: one in a thousand by chance).
 
     Rows with a null basket, or a null or negative item, are left out; an item counts once in a
     basket however often it is repeated. Only pairs with ``n_ab >= min_count``,
@@ -155,16 +159,30 @@ def cooccurring_items(interactions: DataFrame, basket: str = "session_id", item:
     left = cut.withColumn("other", F.explode(F.expr("sequence(k, blocks - 1)"))).filter("other > k")
     across = left.alias("l").join(cut.alias("r"), (F.col("l.basket") == F.col("r.basket")) & (F.col("l.other") == F.col("r.k"))).select(F.col("l.items").alias("lhs"), F.col("r.items").alias("rhs"))
     work = small.unionByName(within).unionByName(across)
-    stripes = work.mapInArrow(_map_stripes, _STRIPE)
-    merged = stripes.repartition("item_a", "block").sortWithinPartitions("item_a", "block").mapInArrow(_merger(int(np.ceil(least))), "item_a long, item_b long, n_ab long")
+    n_items, places = items.agg(F.count("*"), F.coalesce(F.sum("n_x"), F.lit(0))).first()
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, n_items // BLOCK_NEIGHBOURS))
+    stripes = work.mapInArrow(lambda batches: _map_stripes(batches, blocks), _STRIPE)
+    merged = stripes.repartition("item_a", "block").sortWithinPartitions("item_a", "block").mapInArrow(_merger(int(np.ceil(least)), blocks), "item_a long, item_b long, n_ab long")
     counted = (
-        merged.join(items.select(F.col("item").alias("item_a"), F.col("n_x").alias("n_a")), "item_a")
-        .join(items.select(F.col("item").alias("item_b"), F.col("n_x").alias("n_b")), "item_b")
+        _with_count(_with_count(merged, items, n_items, places, "item_a", "item_b", "n_a"), items, n_items, places, "item_b", "item_a", "n_b")
         .withColumn("n", F.lit(n).cast("long"))
         .withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b")))
         .filter((F.col("n_ab") >= F.lit(least)) & (F.col("n_ab") * F.col("n") >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b")))
     )
-    return counted.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", "lift", log_likelihood().alias("llr"))
+    out = counted.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", "lift", log_likelihood().alias("llr"))
+    return out.filter((F.col("llr") >= min_llr) & (F.col("lift") > 1)) if min_llr > 0 else out
+
+
+def _with_count(pairs: DataFrame, items: DataFrame, n_items: int, places: int, key: str, other: str, out: str) -> DataFrame:
+    """Add the count of one item of each pair. The table of items is broadcast if it is small; else hot items are salted by the other item."""
+    counts = items.select(F.col("item").alias(key), F.col("n_x").alias(out))
+    if n_items * 24 <= BROADCAST_BYTES:
+        return pairs.join(broadcast_if_small(counts, n_items, 24), key)
+    hot = F.broadcast(items.filter(F.col("n_x") >= places * HOT_SHARE).select(F.col("item").alias(key), F.lit(SALTS).alias("_salts")))  # at most 1 / HOT_SHARE rows
+    salts = F.coalesce("_salts", F.lit(1))
+    left = pairs.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("_salts")
+    right = counts.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def log_likelihood():

@@ -27,11 +27,13 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a chunk of a long document.
-CHUNK_CHARS = 65_536
+CHUNK_CHARS = 16_384
 #: Output rows of an Arrow batch.
 BATCH_ROWS = 512
 #: Words whose ids a worker remembers, and their longest length.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Copies of a long text that one task joins with its ids, and the most tasks for the copies of one text.
+COPIES, MOST_SALTS = 64, 256
 #: The longest stretch of bytes that is simply encoded again at a join.
 DIRECT_BYTES = 2_048
 
@@ -203,13 +205,15 @@ def concatenate(enc: Encoder, text: str, segments: list[Segment]) -> np.ndarray:
     return segments[0].ids
 
 
-def cut(text: str, size: int) -> list[tuple[str, bool]]:
-    """Chunks of at most ``size`` characters and whether each begins at a safe place (before white space)."""
+def cut(text: str, size: int, anywhere: bool = False) -> list[tuple[str, bool]]:
+    """Chunks of at most ``size`` characters and whether each begins at a safe place (before white space); with ``anywhere`` no such place is sought."""
     out, start, safe = [], 0, True
     while start < len(text):
         end = min(start + size, len(text))
         ends_safe = True
-        if end < len(text):
+        if end < len(text) and anywhere:
+            ends_safe = False
+        elif end < len(text):
             places = [m.start() for m in _SAFE_CUT.finditer(text, start + size // 2, end + 1) if m.start() <= end]
             ends_safe = bool(places)
             end = places[-1] if places else end
@@ -218,13 +222,21 @@ def cut(text: str, size: int) -> list[tuple[str, bool]]:
     return out
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, counts_only: bool = False) -> DataFrame:
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+
+
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, counts_only: bool = False, cut_anywhere: bool = False) -> DataFrame:
     """(doc_id, ids ARRAY<INT>) of every row, or (doc_id, n_tokens BIGINT) with ``counts_only``.
 
     No special tokens. A null or empty text gives an empty list (0 tokens); a null or repeated id is
     kept, one output row for each input row; an empty table gives no rows. Other columns are left
     out, so their names cannot clash. Only texts over ``chunk_chars`` characters are shuffled, in
-    chunks, so that one very long text is encoded by many tasks.
+    chunks, so that one very long text is encoded by many tasks. Chunks carry the hash of their text, so
+    a task that is run again gives the same chunks in any order, and copies of a text are encoded once.
+    With ``cut_anywhere`` all joins are made by tree concatenation, also where white space would spare them.
     """
     if chunk_chars < 16:
         raise ValueError("chunk_chars must be 16 at least")
@@ -236,9 +248,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lengths = np.array([len(x) for x in ids], dtype=np.int64)
         if counts_only:
             return pa.RecordBatch.from_arrays([keys, pa.array(lengths)], names=["doc_id", "n_tokens"])
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
-        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([keys, _id_lists(ids)], names=["doc_id", "ids"])
 
     def short_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -248,29 +258,36 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield made(part.column(0), [enc.encode(t or "") for t in part.column(1).to_pylist()])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, partition = 0, TaskContext.get().partitionId()
+        seen: set[bytes] = set()  # long texts of one task
         for batch in batches:
             for i in range(batch.num_rows):
-                pieces = cut(batch.column(1)[i].as_py(), chunk_chars)
+                key = batch.column(0)[i].as_py()
+                if key in seen:
+                    continue
+                seen.add(key)
+                pieces = cut(batch.column(1)[i].as_py(), chunk_chars, cut_anywhere)
                 unsafe = [not s for _, s in pieces] + [False]
                 for k in range(0, len(pieces), 64):
                     part = pieces[k : k + 64]
                     n = len(part)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([partition] * n, pa.int32()), pa.array([row] * n, pa.int64()), pa.array(list(range(k, k + n)), pa.int32()), pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([t for t, _ in part]), pa.array([s for _, s in part]), pa.array([unsafe[k + j] or unsafe[k + j + 1] for j in range(n)])],
-                        names=["p", "r", "k", "doc_id", "text", "safe", "keep"],
+                        [pa.array([key] * n, pa.binary()), pa.array(list(range(k, k + n)), pa.int32()), pa.array([t for t, _ in part]), pa.array([s for _, s in part]), pa.array([unsafe[k + j] or unsafe[k + j + 1] for j in range(n)])],
+                        names=["key", "k", "text", "safe", "keep"],
                     )
-                row += 1
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc, seen = encoder(vocabulary), set()
         for batch in batches:
             for i in range(0, batch.num_rows, 16):
                 part = batch.slice(i, 16)
-                ids = [enc.encode(t) for t in part.column("text").to_pylist()]
-                kept = [t if k else None for t, k in zip(part.column("text").to_pylist(), part.column("keep").to_pylist())]
-                lists = made(part.column("doc_id"), ids).column(1) if not counts_only else pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("p", "r", "k", "doc_id", "safe")], pa.array(kept, pa.string()), lists], names=["p", "r", "k", "doc_id", "safe", "text", "ids"])
+                own = list(zip(part.column("key").to_pylist(), part.column("k").to_pylist()))
+                new = [j for j, x in enumerate(own) if x not in seen and own.index(x) == j]
+                seen.update(own)
+                part = part.take(pa.array(new, pa.int64()))
+                texts = part.column("text").to_pylist()
+                ids = [enc.encode(t) for t in texts]
+                kept = [t if k else None for t, k in zip(texts, part.column("keep").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("key", "k", "safe")], pa.array(kept, pa.string()), _id_lists(ids)], names=["key", "k", "safe", "text", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
         enc = encoder(vocabulary)
@@ -292,12 +309,20 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     out.append(concatenate(enc, text, segments))
                 run = []
             run.append(k)
-        return pa.Table.from_batches([made(table.column("doc_id").slice(0, 1).combine_chunks(), [np.concatenate(out)])])
+        made_ = made(table.column("key").slice(0, 1).combine_chunks(), [np.concatenate(out)])
+        return pa.Table.from_batches([made_]).rename_columns(["key", result.split()[0]])
 
     short = rows.filter(~long).mapInArrow(short_texts, f"doc_id long, {result}")
-    pieces = rows.filter(long).mapInArrow(chunks, "p int, r long, k int, doc_id long, text string, safe boolean, keep boolean")
-    parts = pieces.repartition("p", "r", "k").mapInArrow(encoded, "p int, r long, k int, doc_id long, safe boolean, text string, ids array<int>")
-    return short.unionByName(parts.groupBy("p", "r").applyInArrow(joined, f"doc_id long, {result}"))
+    key = F.unhex(F.sha2("text", 256))
+    pieces = rows.filter(long).select(key.alias("key"), "text").mapInArrow(chunks, "key binary, k int, text string, safe boolean, keep boolean")
+    parts = pieces.repartition("key", "k").mapInArrow(encoded, "key binary, k int, safe boolean, text string, ids array<int>")
+    known = parts.groupBy("key").applyInArrow(joined, f"key binary, {result}")
+    # Rows of one text are spread over salts, as many as its copies need.
+    wanted = rows.filter(long).select("doc_id", key.alias("key"))
+    salts = wanted.groupBy("key").agg(F.least(F.lit(MOST_SALTS), F.ceil(F.count("*") / F.lit(COPIES))).cast("int").alias("salts"))
+    known = known.join(salts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    own = wanted.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    return short.unionByName(own.select("doc_id", "key", "salt").join(known.drop("salts"), ["key", "salt"]).select("doc_id", result.split()[0]))
 
 
 def decode_ids(ids: list[int], vocabulary: str = VOCABULARY) -> str:

@@ -56,8 +56,8 @@ def pack_sizes(sizes: DataFrame, capacity: int = CAPACITY, group_rows: int = GRO
     rest is packed with the others. No other document is divided. Documents without tokens (null and
     empty texts) take no container: one row with ``container_id`` null. Null sizes count as 0. Null or
     repeated ids are packed as separate rows. Containers of different groups never share an id.
-    Groups are drawn by a hash of id and size with a salt for equal rows, so neither sorted ids nor
-    copies crowd a group.
+    Groups are drawn by a hash of id, size and the row's place in the staged table, so neither sorted
+    ids nor copies crowd a group.
     """
     if capacity < 1 or group_rows < 1:
         raise ValueError("capacity and group_rows must be positive")
@@ -65,8 +65,8 @@ def pack_sizes(sizes: DataFrame, capacity: int = CAPACITY, group_rows: int = GRO
     rows = stage(rows)
     n = rows.filter("n_tokens > 0").count()
     groups = max(1, -(-n // group_rows))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(1009))  # only spreads equal rows
-    grouped = rows.filter("n_tokens > 0").withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "n_tokens", F.when(F.col("doc_id").isNull(), salt)), F.lit(groups)).cast("long"))
+    # The rows are read from a table already written, so their places do not change if a task is run again.
+    grouped = rows.withColumn("_salt", F.monotonically_increasing_id()).filter("n_tokens > 0").withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "n_tokens", "_salt"), F.lit(groups)).cast("long")).drop("_salt")
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.clusters import describe_clusters, similarity_clusters
 from quantloom.llm.cooccur import cooccurring_items
 from quantloom.llm.encode import encode_documents
-from quantloom.llm.packing import pack_documents
+from quantloom.llm.packing import CAPACITY, pack_documents
 from quantloom.llm.sentences import document_sentences
 from quantloom.llm.split import split_records
 
@@ -42,6 +42,12 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
+def p2_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs together more often than chance by a log-likelihood ratio of 10.83 or more (p < 0.001)."""
+    pairs = cooccurring_items(_read(spark, sf_dir, "interactions"), min_count=2, min_llr=10.83)
+    return pairs.select("item_a", "item_b", "n_ab", F.round("llr", 4).alias("llr"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_clusters(_read(spark, sf_dir, "catalog_items"), centred=False).filter("complete and size >= 3").select("cluster_id", "item_id")
 
@@ -59,6 +65,11 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"))
 
 
+def p5_tree_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids with every text over 1,024 characters cut anywhere and joined by tree concatenation."""
+    return encode_documents(_read(spark, sf_dir, "documents"), chunk_chars=1_024, cut_anywhere=True)
+
+
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -71,6 +82,12 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _containers(spark, sf_dir)
 
 
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: (n_containers, n_tokens, fill)."""
+    used = _containers(spark, sf_dir).filter("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.round(F.avg("n") / CAPACITY, 4).alias("fill"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sentences(_read(spark, sf_dir, "documents")).select("doc_id", "end_pos")
 
@@ -81,7 +98,7 @@ def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p4_found, p4_clusters, p5_ids, p6_found, p6_containers, p7_found, p7_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pairs, p2_significant, p4_found, p4_clusters, p5_ids, p5_tree_ids, p6_found, p6_containers, p6_fill, p7_found, p7_sentences)}
 
 
 _PAIRS = """
@@ -110,6 +127,7 @@ SELECT 'samples' AS src, sample_id AS rec_id, split FROM s WHERE n > 256
 UNION ALL SELECT 'history', user_id, split FROM h WHERE n > 20""",
         "p2_found": _PAIRS + "SELECT item_a, item_b FROM t WHERE n_ab >= 8 AND n_ab >= n / 2000.0 AND n_ab * n >= 4.0 * n_a * n_b",
         "p2_pairs": _PAIRS + f"SELECT item_a, item_b, n_ab, n_a, n_b, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round(greatest(0.0, 2 * ({llr})), 4) AS llr FROM t",
+        "p2_significant": _PAIRS + f"SELECT item_a, item_b, n_ab, round(2 * ({llr}), 4) AS llr FROM t WHERE n_ab >= 2 AND n_ab * n > n_a * n_b AND 2 * ({llr}) >= 10.83",
         "p4_found": """
 WITH v AS (SELECT item_id, arg_max(embedding, loaded_at) AS e FROM catalog_items
            WHERE item_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0

@@ -64,6 +64,8 @@ def test_documents(spark):
     counts = E.encode_documents(df, chunk_chars=32, counts_only=True).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in counts) == [(i, len(x)) for i, x in want]
     assert E.encode_documents(df.limit(0)).count() == 0
+    anywhere = E.encode_documents(df.unionByName(df), chunk_chars=32, cut_anywhere=True).collect()  # copies too
+    assert sorted((str(r.doc_id), list(r.ids)) for r in anywhere) == sorted(want + want)
     assert E.decode_ids(plain("round trip ✓")) == "round trip ✓"
 
 
