@@ -14,10 +14,10 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.vector import finite, l2sq
+from quantloom.functions.vector import finite, l2sq, vsub
 
 CODEBOOK_SCHEMA = "level int, code int, vec array<double>"
 
@@ -42,8 +42,23 @@ def nearest(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.argmin((codes**2).sum(1)[None, :] - 2 * x @ codes.T, axis=1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), d)
+
+
+def usable_rows(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a list column are vectors of ``d`` finite numbers, and those as a matrix."""
+    fits = np.asarray(column.value_lengths().fill_null(-1)) == d
+    x = _matrix(column.filter(pa.array(fits)), d)
+    good = np.isfinite(x).all(1)
+    fits[np.flatnonzero(fits)[~good]] = False
+    return fits, x[good]
+
+
+def code_lists(ok: np.ndarray, codes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list column with a row of ``codes`` for each true place of ``ok`` and nulls elsewhere."""
+    offsets = np.concatenate([[0], np.cumsum(ok * codes.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(codes).ravel(), kind), mask=pa.array(~ok))
 
 
 def find_nearest(df: DataFrame, vector: str, codes: np.ndarray, out: str = "code") -> DataFrame:
@@ -51,6 +66,28 @@ def find_nearest(df: DataFrame, vector: str, codes: np.ndarray, out: str = "code
     return encode(df, vector, [codes], out).withColumn(out, F.get(out, F.lit(0)))
 
 
+def assign(df: DataFrame, vector: str, codebook: DataFrame, out: str = "code", most: int = 1_024) -> DataFrame:
+    """The nearest code of a one-level codebook (level, code, vec) by the cheaper plan: up to ``most`` numbers in
+    the codebook as one expression without Python, else as matrix products in Arrow batches. Both give the same codes."""
+    book = codebook_arrays(codebook)[0]
+    return find_nearest_sql(df, vector, codebook, out) if book.size <= most else find_nearest(df, vector, book, out)
+
+
+def top_dot(df: DataFrame, vector: str, codes: np.ndarray, k: int, out: str = "top") -> DataFrame:
+    """Add the k codes of largest dot product as array<struct<code, score>>, ties to the lower code; null for unusable vectors."""
+    d, k = codes.shape[1], min(k, len(codes))
+
+    @F.arrow_udf("array<struct<code:int,score:double>>")
+    def best(column: pa.Array) -> pa.Array:
+        ok, x = usable_rows(column, d)
+        score = x @ codes.T
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        flat = pa.StructArray.from_arrays([pa.array(order.ravel().astype(np.int32)), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["code", "score"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok * k)]).astype(np.int32)), flat, mask=pa.array(~ok))
+
+    return df.withColumn(out, best(F.col(vector).cast("array<double>")))
+
+
 def find_nearest_sql(df: DataFrame, vector: str, codebook: DataFrame, out: str = "code") -> DataFrame:
     """The same as one expression over a one-row codebook; the plain baseline for small codebooks."""
     packed = codebook.agg(F.array_sort(F.collect_list(F.struct("code", "vec"))).alias("_cb"))
@@ -63,36 +100,63 @@ def encode(df: DataFrame, vector: str, levels: Sequence[np.ndarray], out: str =
     """Add residual codes (array<int>, one a level) of each vector; null for unusable vectors."""
     d = levels[0].shape[1]
 
-    @F.pandas_udf("array<int>")
-    def residual_codes(series):
-        import pandas as pd
-
-        ok = np.array([v is not None and len(v) == d and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()) for v in series], dtype=bool)
-        codes = np.empty(len(series), dtype=object)
-        if ok.any():
-            r = np.stack([np.asarray(v, dtype=np.float64) for v in series[ok]])
-            found = np.zeros((len(r), len(levels)), dtype=np.int32)
-            for k, c in enumerate(levels):
-                found[:, k] = nearest(r, c)
-                r = r - c[found[:, k]]
-            for i, row in zip(np.flatnonzero(ok), found):
-                codes[i] = row
-        return pd.Series(codes)
-
-    return df.withColumn(out, residual_codes(F.col(vector)))
+    @F.arrow_udf("array<int>")
+    def residual_codes(column: pa.Array) -> pa.Array:
+        ok, r = usable_rows(column, d)
+        found = np.zeros((len(r), len(levels)), dtype=np.int32)
+        for k, c in enumerate(levels):
+            found[:, k] = nearest(r, c)
+            r = r - c[found[:, k]]
+        return code_lists(ok, found, pa.int32())
 
-
-def _key(level, code):
-    return F.shiftleft(level.cast("long"), 32) + code.cast("long")
+    return df.withColumn(out, residual_codes(F.col(vector).cast("array<double>")))
 
 
 def decode(df: DataFrame, codes: str, codebook: DataFrame, out: str = "vec") -> DataFrame:
-    """Add the sum of the codebook vectors of each code tuple; null if a code is null or unknown."""
-    packed = codebook.agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("level"), F.col("code")), F.col("vec").cast("array<double>")))).alias("_cb"))
-    found = F.transform(codes, lambda c, i: F.try_element_at(F.col("_cb"), _key(i, c)))
+    """Add the sum of the codebook vectors of each code tuple; null if a code is null, negative or unknown.
+
+    The codebook (levels x codes rows) comes to each row as one array a level, read by index.
+    """
+    book = codebook.filter("level >= 0 and code >= 0").select(F.col("level").cast("int").alias("level"), F.col("code").cast("int").alias("code"), F.col("vec").cast("array<double>").alias("vec"))
+    dense = lambda known, most: F.transform(F.sequence(F.lit(0), most), lambda c: F.try_element_at(known, c))
+    level = book.groupBy("level").agg(F.map_from_entries(F.collect_list(F.struct("code", "vec"))).alias("m"), F.max("code").alias("most")).select("level", dense(F.col("m"), F.col("most")).alias("a"))
+    packed = level.agg(F.map_from_entries(F.collect_list(F.struct("level", "a"))).alias("m"), F.coalesce(F.max("level"), F.lit(0)).alias("most")).select(dense(F.col("m"), F.col("most")).alias("_cb"))
+    found = F.transform(codes, lambda c, i: F.get(F.get(F.col("_cb"), i), c))
     total = F.aggregate(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), F.get(found, F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     known = F.forall(found, lambda v: v.isNotNull())
-    return df.crossJoin(F.broadcast(packed)).withColumn(out, F.when((F.size(codes) > 0) & known, total)).drop("_cb")
+    return df.crossJoin(F.broadcast(packed)).withColumn(out, F.when((F.size(codes) > 0) & known, total)).drop("_cb")  # the right side is one row
+
+
+def quantize(df: DataFrame, vector: str, codebook: DataFrame, level: int = 0) -> DataFrame:
+    """Add ``code``, ``quantized`` (its vector) and ``residual`` (what is left over); null for unusable vectors."""
+    own = codebook.filter(F.col("level") == level).select(F.lit(0).alias("level"), "code", "vec")
+    coded = find_nearest(df, vector, codebook_arrays(own)[0])
+    out = decode(coded.withColumn("_c", F.when(F.col("code").isNotNull(), F.array("code"))), "_c", own, "quantized").drop("_c")
+    return out.withColumn("residual", vsub(vector, "quantized"))
+
+
+def overwrite_codes(codebook: DataFrame, new: DataFrame) -> DataFrame:
+    """The codebook (level, code, vec) with the vectors of ``new`` (level, code, vec) in place of its own; unknown codes of ``new`` are left out, a repeated one is an error of the caller."""
+    fresh = new.select("level", "code", F.col("vec").cast("array<double>").alias("_new"))
+    return codebook.join(fresh, ["level", "code"], "left").select("level", "code", F.coalesce("_new", F.col("vec").cast("array<double>")).alias("vec"))
+
+
+def restart_dead(codebook: DataFrame, idle: DataFrame, batch: DataFrame, vector: str, order: str, after: int = 20) -> DataFrame:
+    """(level, code, vec, idle): codes idle for ``after`` steps or more start again at rows of the batch.
+
+    ``idle``: (level, code, idle). The i-th dead code takes the i-th usable row in order of ``order``, from
+    the beginning again if there are fewer rows; ``order`` decides, so a hash gives a seeded random choice.
+    """
+    known = codebook.join(idle, ["level", "code"]).select("level", "code", F.col("vec").cast("array<double>").alias("vec"), "idle")
+    dead = known.filter(F.col("idle") >= after)
+    k = dead.count()  # a codebook has levels x codes rows
+    rows = batch.filter(F.col(vector).isNotNull() & finite(vector)).orderBy(order).select(F.col(order).alias("_o"), F.col(vector).cast("array<double>").alias("_new")).limit(k)
+    rows = rows.withColumn("_i", F.row_number().over(Window.orderBy("_o")) - 1)  # no more rows than codes
+    n = rows.count()
+    if not n:
+        return known
+    place = dead.withColumn("_i", (F.row_number().over(Window.orderBy("level", "code")) - 1) % n).join(rows, "_i").select("level", "code", "_new")
+    return known.join(place, ["level", "code"], "left").select("level", "code", F.coalesce("_new", "vec").alias("vec"), F.when(F.col("_new").isNotNull(), 0).otherwise(F.col("idle")).alias("idle"))
 
 
 def partial_sums(df: DataFrame, vector: str, levels: Sequence[np.ndarray], level: int) -> DataFrame:
@@ -107,7 +171,7 @@ def partial_sums(df: DataFrame, vector: str, levels: Sequence[np.ndarray], level
         for batch in batches:
             if not batch.num_rows:
                 continue
-            r = _matrix(batch.column(0))
+            r = _matrix(batch.column(0), d)
             for c in levels[:level]:
                 r = r - c[nearest(r, c)]
             code = nearest(r, levels[level])

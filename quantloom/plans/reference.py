@@ -121,7 +121,7 @@ def rq_kmeans_fit(spark, d):
 @_query()
 def rqvae_fit(spark, d):
     e = _read(spark, d, "embeddings")
-    model = Autoencoder(AutoencoderConfig(codes=16, steps=150)).fit(e)
+    model = Autoencoder(AutoencoderConfig(codes=16)).fit(e)
     return M.reconstruction_error(model.inverse_transform(model.transform(e)), "embedding", "vec")
 
 

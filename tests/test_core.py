@@ -142,15 +142,23 @@ def test_unusable_vectors_get_no_code_and_move_no_centre(spark):
     book = Q.codebook_table(spark, b.books[:1]).select("code", "vec")
     plain = {r.item_id: r.code for r in Q.find_nearest_sql(df, "embedding", book).collect()}
     assert plain == {i: None if c is None else c[0] for i, c in codes.items()}
-    config = AutoencoderConfig(input_dim=8, hidden_dim=16, latent_dim=4, levels=2, codes=8, steps=20)
+    config = AutoencoderConfig(input_dim=8, hidden_dim=16, latent_dim=4, levels=2, codes=8, epochs=2)
     model = Autoencoder(config).fit(df)
     assert np.isfinite(model.losses).all() and [r.codes for r in model.transform(df).filter("item_id >= 200").collect()] == [None] * len(bad)
 
 
 def test_autoencoder(spark, tmp_path):
-    _, df = vectors(spark)
-    model = Autoencoder(AutoencoderConfig(input_dim=8, hidden_dim=16, latent_dim=4, levels=2, codes=8, steps=300)).fit(df)
-    assert np.mean(model.losses[-20:]) < np.mean(model.losses[:20])
+    x, df = vectors(spark, 2000)
+    for learnable, layers in ((False, 2), (True, 3)):
+        config = AutoencoderConfig(input_dim=8, hidden_dim=16, latent_dim=4, levels=2, codes=8, epochs=6, batch=32, layers=layers, learnable=learnable)
+        model = Autoencoder(config).fit(df)
+        assert len(model.losses) == 6 and model.losses[-1] < model.losses[0]
+        out = model.forward(x)
+        assert out["codes"].shape == (2000, 2) and 0 < out["p_unique"] <= 1 and out["loss"] > ((out["rebuilt"] - x) ** 2).mean()
+    with pytest.raises(ValueError):
+        Autoencoder(AutoencoderConfig(layers=1))
+    rebuilt = model.inverse_transform(model.transform(df)).filter("item_id = 5 or codes is null").orderBy("item_id").collect()
+    assert np.allclose(rebuilt[0].vec, out["rebuilt"][5]) and [r.vec for r in rebuilt[1:]] == [None, None]
     model.save(spark, str(tmp_path / "a"))
     a, b = ([r.codes for r in m.transform(df).orderBy("item_id").collect()] for m in (model, Autoencoder.load(spark, str(tmp_path / "a"))))
     assert a == b and a[-1] is None and a[-2] is None
