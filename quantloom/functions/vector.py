@@ -65,6 +65,11 @@ def flat_ids(codes: ColumnOrName, base: ColumnOrName | int) -> Column:
     return F.aggregate(_c(codes), F.lit(0).cast("long"), lambda acc, c: acc * radix.cast("long") + c)
 
 
+def largest_base(codes: ColumnOrName) -> Column:
+    """An aggregate: the base of ``flat_ids`` if none is given, the largest code plus one."""
+    return F.max(F.array_max(_c(codes))) + 1
+
+
 def strip_padding(ids: ColumnOrName) -> Column:
     """Without nulls and fillers."""
     return F.filter(_c(ids), lambda i: i.isNotNull() & (i >= 0))

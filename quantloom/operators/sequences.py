@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.vector import pad_right, sid_string, strip_padding, tail
-from quantloom.session import distributed_rank
+from quantloom.session import distributed_rank, join_hot, stage
 
 IGNORED = -100
 #: Items of a history.
@@ -125,9 +125,9 @@ def sequence_samples(history: DataFrame, items: DataFrame) -> DataFrame:
     """
     known = items.filter("item_id is not null and codes is not null").select("item_id", F.coalesce("item_text", F.lit("")).alias("text"), sid_string("codes").alias("sid"))
     rows = clean_history(history)
-    seen = rows.select("user_id", "split", "item_fut", F.posexplode("items").alias("pos", "item_id")).join(known, "item_id")
+    seen = join_hot(rows.select("user_id", "split", "item_fut", F.posexplode("items").alias("pos", "item_id")), known, "item_id", "user_id")
     lists = seen.groupBy("user_id", "split", "item_fut").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "sid"))).alias("h"))
-    full = lists.join(known.select(F.col("item_id").alias("item_fut"), F.col("text").alias("ft"), F.col("sid").alias("fs")), "item_fut")
+    full = join_hot(lists, known.select(F.col("item_id").alias("item_fut"), F.col("text").alias("ft"), F.col("sid").alias("fs")), "item_fut", "user_id")
     join = lambda f: F.array_join(F.transform("h", f), ", ")
     sids, texts, mixed = join(lambda x: x["sid"]), join(lambda x: x["text"]), join(lambda x: F.concat(x["text"], F.lit(" "), x["sid"]))
     both = F.concat("fs", F.lit(" "), "ft")
@@ -140,6 +140,37 @@ def chat_text(role: Column | str, text: Column | str) -> Column:
     return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
 
 
+def chat_prompt(user: Column | str, system: str | None = None) -> Column:
+    """System and user message, then the opening of the assistant's answer; a null user text gives null."""
+    user = F.col(user) if isinstance(user, str) else user
+    lead = [chat_text(F.lit("system"), F.lit(system))] if system is not None else []
+    return F.concat(*lead, chat_text(F.lit("user"), user), F.lit("<|im_start|>assistant\n"))
+
+
+def chat_samples(df: DataFrame, text_ids, system: str | None = None, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
+    """Add ``input_ids`` and ``labels`` of a chat of one turn: the prompt's ids are ignored, the answer's count.
+
+    ``text_ids`` maps a text column to its ids. Rows without a prompt or an answer get nulls. The answer ends with the end mark of its turn.
+    """
+    asked, told = text_ids(chat_prompt(prompt, system)), text_ids(F.concat(F.col(answer), F.lit("<|im_end|>\n")))
+    rows = df.withColumn("_p", asked).withColumn("_a", told)
+    labels = F.concat(F.array_repeat(F.lit(IGNORED), F.size("_p")), "_a")
+    there = F.col(prompt).isNotNull() & F.col(answer).isNotNull()
+    return rows.withColumn("input_ids", F.when(there, F.concat("_p", "_a"))).withColumn("labels", F.when(there, labels)).drop("_p", "_a")
+
+
+def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, default, out: str | None = None) -> DataFrame:
+    """``value`` of the row of ``table`` (one a key) for each row, ``default`` where there is none."""
+    known = table.select(F.col(table_key).alias("_k"), F.col(value).alias("_v"))
+    return df.join(known, F.col(key) == F.col("_k"), "left").withColumn(out or value, F.coalesce("_v", F.lit(default))).drop("_k", "_v")
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows, all if there are fewer: those first in a seeded order of a whole-number key. No more than n rows of each task are compared."""
+    mixed = F.pmod((F.col(key).cast("long") % 2_147_483_647) * 48_271 + F.lit(seed * 7_919), F.lit(2_147_483_647))
+    return df.orderBy(mixed, key).limit(n)
+
+
 def batch_ids(df: DataFrame, key: str, size: int, seed: int | None = None, out: str = "batch") -> DataFrame:
     """Consecutive batches in order of the key, or in a seeded random order; numbered without one global sort task."""
     order = F.xxhash64(F.lit(seed), key) if seed is not None else F.lit(0).cast("long")
@@ -175,19 +206,24 @@ def collate(df: DataFrame, batch: str, ids: str, labels: str | None = None, side
 def first_contained(prompts: DataFrame, items: DataFrame, prompt: str = "prompt", text: str = "item_text") -> DataFrame:
     """Prompts with the smallest item whose trimmed text they contain, null if none does.
 
-    Candidates are found by an equi-join on words: an item can only be contained if the longest
-    inner word of its text is a word of the prompt, so no theta join is needed. Texts of fewer than three words are
-    looked up by any of their words' prefixes and are not supported here: they match as whole prompts only.
+    Candidates are found by an equi-join, so no theta join is needed: a prompt that contains a text has all
+    inner words of the text as words, and the rarest of them (over all texts) is the key. Texts without an
+    inner word are keyed by their first letters, up to three, which prompts have as n-grams. Of items with
+    one text only the smallest is looked up. Null and blank texts match nothing; null prompts stay with null.
     """
     words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    known = items.select("item_id", F.trim(text).alias("_t")).filter("_t <> ''").withColumn("_w", words("_t"))
-    inner = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0)))
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    known = known.withColumn("_k", key)
-    short = known.filter("_k is null").select("item_id", "_t")
-    asked = prompts.withColumn("_row", F.monotonically_increasing_id())
-    exploded = asked.select("_row", prompt, F.explode(F.array_distinct(words(prompt))).alias("_k"))
-    hits = exploded.join(known.filter("_k is not null").select("item_id", "_t", "_k"), "_k").filter(F.contains(F.col(prompt), F.col("_t"))).select("_row", "item_id")
-    whole = asked.join(short, F.trim(prompt) == F.col("_t")).select("_row", "item_id")
-    best = hits.unionByName(whole).groupBy("_row").agg(F.min("item_id").alias("item_id"))
-    return asked.join(best, "_row", "left").drop("_row")
+    known = items.filter("item_id is not null").select("item_id", F.trim(text).alias("_t")).filter("_t <> ''").groupBy("_t").agg(F.min("item_id").alias("item_id")).withColumn("_w", words("_t"))
+    inner = F.array_distinct(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))
+    listed = stage(known.select("item_id", "_t", F.explode_outer(inner).alias("_k")))
+    common = listed.filter("_k is not null").groupBy("_k").agg(F.count("*").alias("_n"))
+    keyed = listed.join(common, "_k").groupBy("item_id", "_t").agg(F.min(F.struct("_n", "_k")).alias("b")).select("item_id", "_t", F.col("b._k").alias("_k"))
+    asked = prompts
+    texts = asked.filter(F.col(prompt).isNotNull()).select(F.col(prompt).alias("_p")).distinct()
+    by_word = texts.select("_p", F.explode(F.array_distinct(words("_p"))).alias("_k")).join(keyed, "_k")
+    short = listed.filter("_k is null").select("item_id", "_t", F.substring("_t", 1, 3).alias("_k"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_p") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_p"), i, F.lit(n)))
+    by_gram = texts.select("_p", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("_k")).join(short, "_k") if not short.isEmpty() else None
+    hits = by_word.select("_p", "_t", "item_id")
+    hits = hits.unionByName(by_gram.select("_p", "_t", "item_id")) if by_gram is not None else hits
+    best = hits.filter(F.contains("_p", "_t")).groupBy("_p").agg(F.min("item_id").alias("item_id"))
+    return asked.join(best, F.col(prompt) == F.col("_p"), "left").drop("_p")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.vector import gumbel, hash_uniform
@@ -17,7 +18,8 @@ class Trie:
 
     Node 0 is the root; the others are numbered from 1, depth by depth, in the order of their
     prefixes. ``depth`` of an edge is that of its parent. Null and empty tuples and tuples with
-    nulls are left out; repeated tuples count once. ``first_child`` is null for leaves.
+    nulls are left out; repeated tuples count once. ``first_child`` is null for leaves. ``row_ptrs``
+    and ``edges`` in order of ``child_id`` are the compressed rows of the trie as tables.
     """
 
     nodes: DataFrame
@@ -50,12 +52,34 @@ class Trie:
         known = self.nodes.select(F.col("prefix").alias("_p"), "node_id")
         return prefixes.join(known, F.col(column).cast("array<int>") == F.col("_p"), "left").drop("_p")
 
+    def prefixes(self, depth: int) -> DataFrame:
+        """(prefix, node_id) of one depth: the states behind ``depth`` tokens, in the order of their prefixes."""
+        return self.nodes.filter(F.col("depth") == depth).select("prefix", "node_id")
+
+    def allowed(self, depth: int) -> DataFrame:
+        """(prefix, token): which tokens may follow the prefixes of a depth; the dense mask without its empty places."""
+        return self.nodes.filter(F.col("depth") == depth + 1).select(F.slice("prefix", F.lit(1), F.lit(depth)).alias("prefix"), F.try_element_at("prefix", F.lit(-1)).alias("token"))
+
+    def row_ptrs(self) -> DataFrame:
+        """(node_id, row_ptr): edges of all nodes before each node, up to the last inner node; from distributed ranks.
+
+        Children are numbered in the order of their parents, so the first edge of an inner node is the
+        one before its first child; a leaf takes the pointer of the next inner node, the edges' number if there is none.
+        """
+        edges = self.edges.agg(F.count("*").alias("m"))
+        inner = self.nodes.select("node_id", (F.col("first_child") - 1).alias("p"))
+        n = int(self.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = stage(inner.repartitionByRange(n, "node_id").withColumn("_r", F.spark_partition_id()))
+        after = Window.partitionBy("_r").orderBy("node_id").rowsBetween(0, Window.unboundedFollowing)
+        later = ranged.groupBy("_r").agg(F.min("p").alias("q")).select("_r", F.min("q").over(Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)).alias("q"))  # one row a range
+        filled = ranged.withColumn("p", F.min("p").over(after)).join(F.broadcast(later), "_r").crossJoin(F.broadcast(edges))
+        return filled.select("node_id", F.coalesce("p", "q", "m").alias("row_ptr"))
+
     def csr(self) -> tuple[list[int], list[int], list[int]]:
         """(row_ptrs, cols, vals) with -1 behind the last edge; collects, so for small catalogues and tests."""
-        edges = [(r.node_id, r.token, r.child_id) for r in self.edges.orderBy("child_id").collect()]
-        counts = [r.n_children for r in self.nodes.orderBy("node_id").collect()]
-        ptrs = [sum(counts[:i]) for i in range(len(counts))]
-        return ptrs, [*[e[1] for e in edges], -1], [*[e[2] for e in edges], -1]
+        edges = [(r.token, r.child_id) for r in self.edges.orderBy("child_id").collect()]
+        ptrs = [r.row_ptr for r in self.row_ptrs().orderBy("node_id").collect()]
+        return ptrs, [*[e[0] for e in edges], -1], [*[e[1] for e in edges], -1]
 
 
 def reverse_index(codes: DataFrame, column: str = "codes", item: str = "item_id") -> DataFrame:
@@ -88,27 +112,51 @@ def linear(beams: DataFrame, trie: Trie, weights: DataFrame, hidden: str = "h")
     return joined.withColumn("logit", dot(hidden, "w") + bias).drop("w", "bias")
 
 
+def padded_children(masked: DataFrame, by: list[str], width: int) -> DataFrame:
+    """One row for each group of ``masked``: ``tokens`` and ``next_nodes`` of its children in order of tokens, filled up with -1 to ``width``."""
+    rows = masked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("token", "child_id"))).alias("_c"))
+    fill = lambda name, kind: F.concat(F.transform("_c", lambda c: c[name]), F.array_repeat(F.lit(-1).cast(kind), F.greatest(F.lit(width) - F.size("_c"), F.lit(0))))
+    return rows.select(*by, fill("token", "int").alias("tokens"), fill("child_id", "long").alias("next_nodes"))
+
+
+def _ranked(by: list[str], score: str, ties: tuple[str, ...] = ("token",)):
+    """One ordering for the rank and for sums over all rows of a group, so that one sort serves both."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), *ties)
+    return w, w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def log_softmax(df: DataFrame, by: list[str], logit: str = "logit", out: str = "log_prob") -> DataFrame:
-    w = Window.partitionBy(*by)
-    shifted = F.col(logit) - F.max(logit).over(w)
-    return df.withColumn("_z", shifted).withColumn(out, F.col("_z") - F.ln(F.sum(F.exp("_z")).over(w))).drop("_z")
+    _, all_ = _ranked(by, logit)
+    return df.withColumn("_z", F.col(logit) - F.max(logit).over(all_)).withColumn(out, F.col("_z") - F.ln(F.sum(F.exp("_z")).over(all_))).drop("_z")
 
 
 def top_k(df: DataFrame, by: list[str], k: int, score: str = "logit", ties: tuple[str, ...] = ("token",)) -> DataFrame:
     """The k best rows of each group; ties go to the smaller token."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), *ties)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(_ranked(by, score, ties)[0])).filter(F.col("rank") <= k)
+
 
+def lcg_uniform(seed: int, *parts) -> Column:
+    """A reproducible number in (0, 1) from whole numbers, by plain arithmetic that any engine repeats."""
+    total = F.lit(seed * 7_919)
+    for part, factor in zip(parts, (104_729, 1_299_709, 15_485_863, 32_452_843)):
+        total = total + F.coalesce(F.col(part) if isinstance(part, str) else part, F.lit(0)).cast("long") * factor
+    return (F.pmod(total * 48_271 + 11, F.lit(1_000_003)).cast("double") + 0.5) / 1_000_003
 
-def sample(df: DataFrame, by: list[str], k: int, temperature: float, seed: int, logit: str = "logit") -> DataFrame:
-    """k draws without replacement from softmax(logit / temperature), by seeded Gumbel noise."""
-    noise = gumbel(hash_uniform(seed, *by, "token"))
+
+def sample(df: DataFrame, by: list[str], k: int, temperature: float, seed: int, logit: str = "logit", uniform=hash_uniform) -> DataFrame:
+    """k draws without replacement from softmax(logit / temperature), by seeded Gumbel noise. ``uniform(seed, *columns)`` gives the noise's source."""
+    noise = gumbel(uniform(seed, *by, "token"))
     return top_k(df.withColumn("_g", F.col(logit) / temperature + noise), by, k, "_g").drop("_g")
 
 
+STRATEGIES = ("default", "sample", "topk")
+
+
 @dataclass
 class GenerationConfig:
-    """``strategy``: greedy or sample (by temperature), or topk, which normalises over the kept tokens only."""
+    """``strategy``: default (greedy, or draws without replacement if ``temperature`` is over 0), sample (one
+    draw a step, reported with a log-probability of 0; needs k = beam_size = 1) or topk (greedy, normalised
+    over the kept tokens only, whatever the temperature). ``uniform`` is the source of random numbers."""
 
     steps: int
     k: int = 1
@@ -116,6 +164,13 @@ class GenerationConfig:
     temperature: float = 0.0
     strategy: str = "default"
     seed: int = 0
+    uniform: Callable = hash_uniform
+
+    def __post_init__(self) -> None:
+        if self.strategy not in STRATEGIES:
+            raise ValueError(f"strategy {self.strategy!r} is none of {STRATEGIES}")
+        if self.strategy == "sample" and (self.k, self.beam_size) != (1, 1):
+            raise ValueError("strategy sample needs k = beam_size = 1")
 
 
 def beam_search(queries: DataFrame, trie: Trie, scorer, config: GenerationConfig) -> DataFrame:
@@ -123,7 +178,8 @@ def beam_search(queries: DataFrame, trie: Trie, scorer, config: GenerationConfig
 
     ``scorer(candidates, step)`` gets the candidate rows (query_id, beam_id, tokens, node_id, token,
     child_id) and adds ``logit``. All queries advance at once; fewer than k rows come out where the
-    trie has fewer paths.
+    trie has fewer paths. Rows stay partitioned by query while the levels of the trie are small enough to
+    be broadcast, so a step is one sort and no shuffle.
     """
     beams = queries.select("query_id").distinct().select("query_id", F.lit(1).alias("beam_id"), F.array().cast("array<int>").alias("tokens"), F.lit(0).cast("long").alias("node_id"), F.lit(0.0).alias("log_prob"))
     rows = {r.depth: r["count"] for r in trie.edges.groupBy("depth").count().collect()}  # one row a level
@@ -132,14 +188,20 @@ def beam_search(queries: DataFrame, trie: Trie, scorer, config: GenerationConfig
         # Near the root few nodes are shared by all beams; those levels are small and go to the beams instead.
         edges = broadcast_if_small(trie.edges.filter(F.col("depth") == step).select("node_id", "token", "child_id"), rows.get(step, 0), 32)
         scored = scorer(beams.join(edges, "node_id"), step)
-        if config.strategy == "topk":
-            kept = log_softmax(top_k(scored, by, config.beam_size).drop("rank"), by, out="lp")
-        elif config.temperature > 0:
-            tempered = scored.withColumn("logit", F.col("logit") / config.temperature)
-            kept = sample(log_softmax(tempered, by, out="lp"), by, config.beam_size, 1.0, config.seed + step).drop("rank")
+        drawn = config.temperature > 0 and config.strategy != "topk"
+        if drawn or config.strategy == "sample":
+            warm = config.temperature if config.temperature > 0 else 1.0
+            noise = gumbel(config.uniform(config.seed + step, *by, "token"))
+            scored = scored.withColumn("logit", F.col("logit") / warm).withColumn("_order", F.col("logit") + noise)
         else:
-            kept = top_k(log_softmax(scored, by, out="lp"), by, config.beam_size).drop("rank")
-        moved = kept.select("query_id", F.concat("tokens", F.array("token")).alias("tokens"), F.col("child_id").alias("node_id"), (F.col("log_prob") + F.col("lp")).alias("log_prob"))
+            scored = scored.withColumn("_order", F.col("logit"))
+        w, all_ = _ranked(by, "_order")
+        if config.strategy == "topk":
+            scored = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= config.beam_size)
+        shifted = scored.withColumn("_r", F.row_number().over(w)).withColumn("_z", F.col("logit") - F.max("logit").over(all_))
+        kept = shifted.withColumn("lp", F.col("_z") - F.ln(F.sum(F.exp("_z")).over(all_))).filter(F.col("_r") <= config.beam_size)
+        gained = F.lit(0.0) if config.strategy == "sample" else F.col("lp")
+        moved = kept.select("query_id", F.concat("tokens", F.array("token")).alias("tokens"), F.col("child_id").alias("node_id"), (F.col("log_prob") + gained).alias("log_prob"))
         best = Window.partitionBy("query_id").orderBy(F.desc("log_prob"), "tokens")
         beams = moved.withColumn("beam_id", F.row_number().over(best)).filter(F.col("beam_id") <= config.k)
         if step % 4 == 3:
@@ -147,6 +209,24 @@ def beam_search(queries: DataFrame, trie: Trie, scorer, config: GenerationConfig
     return beams.select("query_id", F.col("beam_id").alias("rank"), "tokens", "node_id", "log_prob")
 
 
+def with_items(beams: DataFrame, index: DataFrame, codes: str = "codes", default: int = -1) -> DataFrame:
+    """Generated code tuples with their item (``index`` as of ``reverse_index``), ``default`` if no item has the tuple."""
+    known = index.select(F.col("codes").alias("_c"), F.col("item_id").alias("item_id"))
+    return beams.join(known, F.col(codes) == F.col("_c"), "left").drop("_c").withColumn("item_id", F.coalesce("item_id", F.lit(default).cast("long")))
+
+
+def retrieve(queries: DataFrame, trie: Trie, scorer, index: DataFrame, config: GenerationConfig, first_id: int | None = None, codes_per_level: int = 0) -> DataFrame:
+    """(query_id, pred): the items of each query's beams, best first; -1 where no item has the tuple.
+
+    With ``first_id`` the trie holds token ids (see ``item_trie``), which become codes again.
+    """
+    beams = beam_search(queries, trie, scorer, config)
+    if first_id is not None:
+        beams = beams.withColumn("tokens", F.transform("tokens", lambda t: ((t - first_id) % codes_per_level).cast("int")))
+    rows = with_items(beams, index, "tokens")
+    return rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias("pred"))  # config.k rows a query
+
+
 def generate_interleaved(prompts: DataFrame, trie: Trie, scorer, start_id: int, end_id: int, levels: int, eos_id: int, max_new: int, temperature: float = 0.0, seed: int = 0) -> DataFrame:
     """Generation of text and items: free tokens until ``start_id``, then ``levels`` tokens of the trie and ``end_id``.
 

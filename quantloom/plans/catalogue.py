@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.plans import reference, skew
+from quantloom.plans import pipeline, reference, skew  # noqa: F401  (pipeline adds to the queries of reference)
 
 QUERIES = {**skew.QUERIES, **reference.QUERIES}
 ORACLES = {**skew.ORACLES, **reference.ORACLES}

@@ -5,9 +5,11 @@ Arrays come out joined by commas, so both engines compare plain strings. Every q
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.text import char_ids
 from quantloom.functions.vector import dot, finite, flat_ids, l2_normalize, sid_string, strip_padding, tail
 from quantloom.operators import metrics as M
 from quantloom.operators import quantize as Q
@@ -104,11 +106,16 @@ def kmeans_minibatch_step(spark, d):
 @_query(f"WITH {_E}{_level(0)}, t AS (SELECT c0 AS code, generate_subscripts(e.v, 1) AS i, unnest(e.v) AS x FROM r0 JOIN e USING (vec_id)), s AS (SELECT code, i, sum(x) AS x, count(*) AS n FROM t GROUP BY ALL) SELECT s.code, i - 1 AS pos, round((0.99 * k.w[i] + 0.01 * x) / (0.99 + 0.01 * n), 6) AS vec FROM s JOIN k ON k.level = 0 AND k.code = s.code")
 def ema_step(spark, d):
     """One moving-average step of the active codes, from sizes of 1 and sums equal to the codes."""
-    book = _books(spark, d)[0]
-    table = Q.codebook_table(spark, [book]).select("code", "vec")
-    sums = Q.partial_sums(_read(spark, d, "embeddings"), "embedding", [book], 0).join(F.broadcast(table), "code")  # one row a code
-    new = F.zip_with("vec", "total", lambda v, t: (0.99 * v + 0.01 * t) / F.greatest(0.99 + 0.01 * F.col("n"), F.lit(1e-5)))
-    return sums.select("code", F.posexplode(new).alias("pos", "v")).select("code", "pos", F.round("v", 6).alias("vec"))
+    return _ema(spark, _read(spark, d, "embeddings"), _books(spark, d)[0])
+
+
+def _ema(spark: SparkSession, vectors: DataFrame, book: np.ndarray) -> DataFrame:
+    n, total = np.zeros(len(book), dtype=np.int64), np.zeros_like(book)
+    for r in Q.partial_sums(vectors, "embedding", [book], 0).collect():  # one row a code
+        n[r.code], total[r.code] = r.n, r.total
+    moved = Q.ema_update(np.ones(len(book)), book, book, n, total)[2]
+    table = spark.createDataFrame([(int(k), moved[k].tolist()) for k in np.flatnonzero(n)], "code int, vec array<double>")
+    return table.select("code", F.posexplode("vec").alias("pos", "v")).select("code", "pos", F.round("v", 6).alias("vec"))
 
 
 @_query()
@@ -185,11 +192,7 @@ def kmeans_minibatch_step_items(spark, d):
 
 @_query(f"WITH {_ITEMS}{_level(0)}, t AS (SELECT c0 AS code, generate_subscripts(e.v, 1) AS i, unnest(e.v) AS x FROM r0 JOIN e USING (vec_id)), s AS (SELECT code, i, sum(x) AS x, count(*) AS n FROM t GROUP BY ALL) SELECT s.code, i - 1 AS pos, round((0.99 * k.w[i] + 0.01 * x) / (0.99 + 0.01 * n), 6) AS vec FROM s JOIN k ON k.level = 0 AND k.code = s.code")
 def ema_step_items(spark, d):
-    book = _books(spark, d)[0]
-    table = Q.codebook_table(spark, [book]).select("code", "vec")
-    sums = Q.partial_sums(_items(spark, d), "embedding", [book], 0).join(F.broadcast(table), "code")  # one row a code
-    new = F.zip_with("vec", "total", lambda v, t: (0.99 * v + 0.01 * t) / F.greatest(0.99 + 0.01 * F.col("n"), F.lit(1e-5)))
-    return sums.select("code", F.posexplode(new).alias("pos", "v")).select("code", "pos", F.round("v", 6).alias("vec"))
+    return _ema(spark, _items(spark, d), _books(spark, d)[0])
 
 
 @_query(f"WITH {_ITEMS} SELECT item_id, round(norm, 6) AS norm, CASE WHEN norm IS NOT NULL THEN CAST(1 AS DOUBLE) END AS unit FROM a LEFT JOIN n USING (item_id)")
@@ -264,12 +267,13 @@ def trie_prefix_lookup(spark, d):
 
 
 def _scorer(spark, d):
-    """Logits by how many items have a code at a level; a fixed table of levels x codes rows at most."""
+    """Logits by how many items have a code at a level, and by the query; a fixed table of levels x codes rows at most."""
     seen = _codes(spark, d).select(F.posexplode("codes").alias("level", "token")).groupBy("level", "token").agg(F.count("*").alias("c"))
 
     def score(candidates: DataFrame, step: int) -> DataFrame:
-        table = seen.filter(F.col("level") == step).select("token", (F.ln(F.col("c").cast("double") + 1) + (F.col("token") % 7) / 10).alias("logit"))
-        return candidates.join(F.broadcast(table), "token")
+        table = seen.filter(F.col("level") == step).select("token", F.ln(F.col("c").cast("double") + 1).alias("base"))
+        query = F.col("query_id") if "query_id" in candidates.columns else F.lit(0)
+        return candidates.join(F.broadcast(table), "token").withColumn("logit", F.col("base") + F.pmod(F.col("token") + query, F.lit(7)) / 10).drop("base")
 
     return score
 
@@ -278,31 +282,48 @@ def _users(spark, d) -> DataFrame:
     return _read(spark, d, "history").filter("user_id is not null").select(F.col("user_id").alias("query_id")).distinct()
 
 
-_SCORE = _TRIE + ", s AS (SELECT level, code AS token, ln(count(*) + 1) + (code % 7) / 10.0 AS logit FROM (SELECT generate_subscripts(codes, 1) - 1 AS level, unnest(codes) AS code FROM c) GROUP BY level, code)"
+_SCORE = _TRIE + ", s AS (SELECT level, code AS token, ln(count(*) + 1) AS base FROM (SELECT generate_subscripts(codes, 1) - 1 AS level, unnest(codes) AS code FROM c) GROUP BY level, code), q AS (SELECT DISTINCT user_id AS query_id FROM history WHERE user_id IS NOT NULL)"
+
 
+def _gumbel_sql(seed: int, *parts: str) -> str:
+    total = " + ".join([str(seed * 7_919), *[f"CAST({p} AS BIGINT) * {k}" for p, k in zip(parts, (104_729, 1_299_709, 15_485_863))]])
+    u = f"((({total}) * 48271 + 11) % 1000003 + 0.5) / 1000003.0"
+    return f"(-ln(-ln({u} + 1e-10) + 1e-10))"
 
-def _beam_sql(k: int, width: int) -> str:
-    sql, before = _SCORE, "(SELECT 0 AS beam_id, CAST([] AS INT[]) AS tokens, 0 AS node_id, 0.0 AS log_prob)"
+
+def _beams_sql(k: int, width: int, temperature: float = 0.0, seed: int = 0) -> str:
+    """Three unrolled steps; the last beams are b2."""
+    sql, before = _SCORE, "(SELECT query_id, 1 AS beam_id, CAST([] AS INT[]) AS tokens, 0 AS node_id, CAST(0 AS DOUBLE) AS log_prob FROM q)"
+    warm = temperature or 1.0
     for i in range(3):
-        sql += f""", a{i} AS (SELECT b.beam_id, b.tokens, b.log_prob, g.token, g.child_id, s.logit, s.logit - max(s.logit) OVER (PARTITION BY b.beam_id) AS z FROM {before} b JOIN g ON g.node_id = b.node_id JOIN s ON s.level = {i} AND s.token = g.token),
- l{i} AS (SELECT *, z - ln(sum(exp(z)) OVER (PARTITION BY beam_id)) AS lp, row_number() OVER (PARTITION BY beam_id ORDER BY logit DESC, token) AS rn FROM a{i}),
- m{i} AS (SELECT list_append(tokens, token) AS tokens, child_id AS node_id, log_prob + lp AS log_prob FROM l{i} WHERE rn <= {width}),
- o{i} AS (SELECT *, row_number() OVER (ORDER BY log_prob DESC, tokens) AS beam_id FROM m{i}),
+        noise = _gumbel_sql(seed + i, "query_id", "beam_id", "token") if temperature else "0"
+        sql += f""", a{i} AS (SELECT b.query_id, b.beam_id, b.tokens, b.log_prob, g.token, g.child_id, (s.base + ((g.token + b.query_id) % 7) / 10.0) / {warm} AS logit FROM {before} b JOIN g ON g.node_id = b.node_id JOIN s ON s.level = {i} AND s.token = g.token),
+ z{i} AS (SELECT *, logit - max(logit) OVER (PARTITION BY query_id, beam_id) AS z FROM a{i}),
+ l{i} AS (SELECT *, z - ln(sum(exp(z)) OVER (PARTITION BY query_id, beam_id)) AS lp, row_number() OVER (PARTITION BY query_id, beam_id ORDER BY logit + {noise} DESC, token) AS rn FROM z{i}),
+ m{i} AS (SELECT query_id, list_append(tokens, token) AS tokens, child_id AS node_id, log_prob + lp AS log_prob FROM l{i} WHERE rn <= {width}),
+ o{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY log_prob DESC, tokens) AS beam_id FROM m{i}),
  b{i} AS (SELECT * FROM o{i} WHERE beam_id <= {k})"""
         before = f"b{i}"
-    return sql + f" SELECT u.user_id AS query_id, beam_id AS rank, array_to_string(tokens, ',') AS tokens, round(log_prob, 6) AS log_prob FROM (SELECT DISTINCT user_id FROM history WHERE user_id IS NOT NULL) u, b2"
+    return sql
 
 
-@_query(_beam_sql(3, 4))
-def beam_search_greedy(spark, d):
-    beams = T.beam_search(_users(spark, d), T.Trie.from_codes(_codes(spark, d)), _scorer(spark, d), T.GenerationConfig(steps=3, k=3, beam_size=4))
+_BEAMS = " SELECT query_id, beam_id AS rank, array_to_string(tokens, ',') AS tokens, round(log_prob, 6) AS log_prob FROM b2"
+
+
+def _shown(beams: DataFrame) -> DataFrame:
     return beams.select("query_id", "rank", _text("tokens").alias("tokens"), F.round("log_prob", 6).alias("log_prob"))
 
 
-@_query()
+@_query(_beams_sql(3, 4) + _BEAMS)
+def beam_search_greedy(spark, d):
+    """Logits differ between users, and so do their beams."""
+    return _shown(T.beam_search(_users(spark, d), T.Trie.from_codes(_codes(spark, d)), _scorer(spark, d), T.GenerationConfig(steps=3, k=3, beam_size=4)))
+
+
+@_query(_beams_sql(2, 2, 0.8, 3) + _BEAMS)
 def beam_search_sampled(spark, d):
-    beams = T.beam_search(_users(spark, d), T.Trie.from_codes(_codes(spark, d)), _scorer(spark, d), T.GenerationConfig(steps=3, k=2, beam_size=2, temperature=0.8, seed=3))
-    return beams.select("query_id", "rank", _text("tokens").alias("tokens"), F.round("log_prob", 6).alias("log_prob"))
+    config = T.GenerationConfig(steps=3, k=2, beam_size=2, temperature=0.8, seed=3, uniform=T.lcg_uniform)
+    return _shown(T.beam_search(_users(spark, d), T.Trie.from_codes(_codes(spark, d)), _scorer(spark, d), config))
 
 
 def _interleaved(spark, d, temperature: float) -> DataFrame:
@@ -344,7 +365,7 @@ def generate_interleaved_sampled(spark, d):
     return _interleaved(spark, d, 0.8)
 
 
-@_query(_SCORE + ", x AS (SELECT g.node_id, g.token, s.logit, row_number() OVER (PARTITION BY g.node_id ORDER BY s.logit DESC, g.token) AS rank FROM g JOIN s ON s.level = g.depth AND s.token = g.token) SELECT node_id, token, round(logit, 6) AS logit, rank FROM x WHERE rank <= 5")
+@_query(_SCORE + ", x AS (SELECT g.node_id, g.token, s.base + (g.token % 7) / 10.0 AS logit, row_number() OVER (PARTITION BY g.node_id ORDER BY s.base + (g.token % 7) / 10.0 DESC, g.token) AS rank FROM g JOIN s ON s.level = g.depth AND s.token = g.token) SELECT node_id, token, round(logit, 6) AS logit, rank FROM x WHERE rank <= 5")
 def constrained_topk(spark, d):
     """The five best children of every node."""
     trie, score = T.Trie.from_codes(_codes(spark, d)), _scorer(spark, d)
@@ -383,26 +404,76 @@ def item_tokens(spark, d):
     return _codes(spark, d).select("item_id", _text(VOCABULARY.item_token_ids("codes")).alias("token_ids"), sid_string("codes").alias("sid"))
 
 
-@_query(f"WITH {_CODES} SELECT item_id, concat_ws(',', item_id % 100, 51025, 50257 + codes[1], 50513 + codes[2], 50769 + codes[3], 51026) AS ids FROM c")
+_CHARS = "list_transform(string_split({0}, ''), lambda x: unicode(x))"
+_TEXTS = "it AS (SELECT c.item_id, any_value(c.codes) AS codes, min(i.item_text) AS item_text, '<|item_start|><item_L0_C' || any_value(c.codes[1]) || '><item_L1_C' || any_value(c.codes[2]) || '><item_L2_C' || any_value(c.codes[3]) || '><|item_end|>' AS sid FROM c JOIN catalog_items i USING (item_id) GROUP BY c.item_id)"
+
+
+def _item_texts(spark, d) -> DataFrame:
+    return _read(spark, d, "catalog_items").filter("item_id is not null").groupBy("item_id").agg(F.min("item_text").alias("item_text")).join(_codes(spark, d), "item_id")
+
+
+@_query(f"WITH {_CODES}, {_TEXTS}, m AS (SELECT item_id, concat_ws(',', 50257 + codes[1], 50513 + codes[2], 50769 + codes[3], 51026) AS ids, array_to_string({_CHARS.format('item_text')}, ',') AS t FROM it WHERE item_text <> '') SELECT item_id, md5(t || ',51025,' || ids || ',' || ids || ',32,116,111,111') AS ids FROM m")
 def encode_parts(spark, d):
-    """A text part and an item part of each item."""
+    """A text part, two item parts and a text part of each item, texts as characters."""
     part = lambda kind, text, codes: F.struct(F.lit(kind).alias("type"), text.alias("text"), codes.alias("codes"))
-    parts = F.array(part("text", (F.col("item_id") % 100).cast("string"), F.lit(None).cast("array<int>")), part("item", F.lit(None).cast("string"), F.col("codes")))
-    return _codes(spark, d).withColumn("parts", parts).select("item_id", _text(S.encode_parts("parts", VOCABULARY, lambda t: F.array(t.cast("int")))).alias("ids"))
+    text, item = lambda t: part("text", t, F.lit(None).cast("array<int>")), part("item", F.lit(None).cast("string"), F.col("codes"))
+    parts = F.array(text(F.col("item_text")), item, item, text(F.lit(" too")))
+    rows = _item_texts(spark, d).filter("item_text <> ''").withColumn("parts", parts)
+    return rows.select("item_id", F.md5(_text(S.encode_parts("parts", VOCABULARY, char_ids))).alias("ids"))
 
 
-@_query(f"WITH {_CODES} SELECT item_id, 1 AS run, array_to_string(codes, ',') AS codes FROM c")
+@_query(f"WITH {_CODES} SELECT item_id, unnest([1, 2, 3, 4]) AS run, unnest(['text', 'item', 'item', 'text']) AS kind, unnest([CAST(item_id % 100 AS VARCHAR) || ',7', concat_ws(',', 50257 + codes[1], 50513 + codes[2], 50769 + codes[3]), concat_ws(',', 50257 + codes[1], 50513 + codes[2]), '9']) AS tokens, unnest([NULL, array_to_string(codes, ','), codes[1] || ',' || codes[2], NULL]) AS codes FROM c")
 def decode_items(spark, d):
-    rows = _codes(spark, d).select("item_id", F.concat(F.array(F.lit(VOCABULARY.start)), VOCABULARY.item_token_ids("codes"), F.array(F.lit(VOCABULARY.end))).alias("ids"))
-    return S.decode_ids(rows, "ids", VOCABULARY, "item_id").select("item_id", "run", _text("codes").alias("codes"))
+    """Text, an item, an item that breaks off, and text again."""
+    one = VOCABULARY.item_token_ids("codes")
+    ids = F.concat(F.array(F.pmod("item_id", F.lit(100)).cast("int"), F.lit(7), F.lit(VOCABULARY.start)), one, F.array(F.lit(VOCABULARY.end)), F.slice(one, 1, 2), F.array(F.lit(9)))
+    rows = _codes(spark, d).select("item_id", ids.alias("ids"))
+    return S.decode_ids(rows, "ids", VOCABULARY, "item_id").select("item_id", "run", "kind", _text("tokens").alias("tokens"), _text("codes").alias("codes"))
 
 
-@_query("SELECT sample_id, split, len(input_ids) AS n, max(len(input_ids)) OVER (PARTITION BY sample_id // 32) - len(input_ids) AS padding, len(list_filter(list_resize(coalesce(labels, []), len(input_ids), -100), lambda x: x <> -100)) AS n_labels FROM (SELECT DISTINCT sample_id, split, coalesce(input_ids, []) AS input_ids, labels FROM samples)")
-def collate_samples(spark, d):
+@_query(f"""WITH {_CODES}, {_TEXTS}, two AS (SELECT item_id, 'description_to_sid' AS template, item_text AS prompt, sid AS answer FROM it WHERE item_text IS NOT NULL UNION ALL SELECT item_id, 'sid_to_description', sid, item_text FROM it WHERE item_text IS NOT NULL),
+ x AS (SELECT item_id, template, '<|im_start|>system' || chr(10) || 'Recommend.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS p, answer || '<|im_end|>' || chr(10) AS a FROM two)
+ SELECT item_id, template, md5(array_to_string({_CHARS.format('p || a')}, ',')) AS ids, md5(array_to_string(list_concat(list_resize(CAST([] AS INT[]), length(p), -100), {_CHARS.format('a')}), ',')) AS labels FROM x""")
+def chat_samples(spark, d):
+    """Both samples of every item as chats, texts as characters; labels ignore the prompt."""
+    rows = S.chat_samples(S.item_samples(_item_texts(spark, d)), char_ids, system="Recommend.")
+    return rows.select("item_id", "template", F.md5(_text("input_ids")).alias("ids"), F.md5(_text("labels")).alias("labels"))
+
+
+_SAMPLES = "s AS (SELECT sample_id, split, ids, labels, max(len(ids)) OVER (PARTITION BY sample_id // 32) AS w FROM (SELECT DISTINCT sample_id, split, coalesce(input_ids, []) AS ids, labels FROM samples))"
+
+
+def _padded_sql(labels: str, side: str = "right") -> str:
+    """``labels``: the labels of ``ids`` before padding."""
+    pad = (lambda a, v: f"list_concat({a}, list_resize(CAST([] AS INT[]), w - len(ids), {v}))") if side == "right" else (lambda a, v: f"list_concat(list_resize(CAST([] AS INT[]), w - len(ids), {v}), {a})")
+    ones = "list_transform(ids, lambda x: 1)"
+    return f"WITH {_SAMPLES} SELECT sample_id, split, " + ", ".join(f"md5(array_to_string({pad(a, v)}, ',')) AS {n}" for a, v, n in (("ids", 0, "padded_ids"), (ones, 0, "attention_mask"), (labels, -100, "padded_labels"))) + " FROM s"
+
+
+_GIVEN = "list_resize(coalesce(labels, CAST([] AS INT[])), len(ids), -100)"
+
+
+def _collated(spark, d, **options) -> DataFrame:
     empty = F.array().cast("array<int>")
     rows = _read(spark, d, "samples").select("sample_id", "split", F.coalesce("input_ids", empty).alias("input_ids"), "labels").distinct().withColumn("batch", F.floor(F.col("sample_id") / 32))
-    out = S.collate(rows, "batch", "input_ids", "labels", side="left")
-    return out.select("sample_id", "split", F.size("input_ids").alias("n"), (F.size("padded_ids") - F.size("input_ids")).alias("padding"), F.size(F.filter("padded_labels", lambda x: x != S.IGNORED)).alias("n_labels"))
+    return S.collate(rows, "batch", "input_ids", **options).select("sample_id", "split", *[F.md5(_text(c)).alias(c) for c in ("padded_ids", "attention_mask", "padded_labels")])
+
+
+@_query(_padded_sql(_GIVEN, "left"))
+def collate_samples(spark, d):
+    """Batches of 32 padded on the left, with the labels as stored."""
+    return _collated(spark, d, labels="labels", side="left")
+
+
+@_query(_padded_sql(_GIVEN))
+def collate_right(spark, d):
+    return _collated(spark, d, labels="labels", side="right")
+
+
+@_query(_padded_sql("list_transform(list_zip(ids, range(len(ids))), lambda z: CASE WHEN z[2] > 0 AND z[1] >= 50257 THEN z[1] ELSE -100 END)"))
+def loss_mask_items(spark, d):
+    """Labels on the tokens of items only."""
+    return _collated(spark, d, loss_on="items", text_size=50_257)
 
 
 @_query("SELECT template, count(*) AS n, min(l) AS min, max(l) AS max, round(avg(l), 6) AS mean, round(stddev_pop(l), 6) AS std, " + ", ".join(f"round(quantile_cont(l, {p / 100}), 6) AS p{p}" for p in M.PERCENTILES) + " FROM (SELECT template, len(input_ids) AS l FROM samples) WHERE l IS NOT NULL GROUP BY template")
@@ -436,10 +507,18 @@ def ordered_batches(spark, d):
     return S.batch_ids(_read(spark, d, "part").select("p_partkey"), "p_partkey", 64)
 
 
-@_query()
+@_query(f"""WITH {_CODES}, {_TEXTS}, h AS (SELECT DISTINCT user_id, split, list_filter(items, lambda x: x >= 0) AS x, item_fut FROM history WHERE item_fut >= 0),
+ t AS (SELECT user_id, split, item_fut, x[greatest(len(x) - 19, 1):] AS x FROM h WHERE len(x) > 0), s AS (SELECT user_id, split, item_fut, generate_subscripts(x, 1) AS pos, unnest(x) AS item_id FROM t),
+ l AS (SELECT user_id, split, item_fut, string_agg(sid, ', ' ORDER BY pos) AS sids, string_agg(coalesce(item_text, ''), ', ' ORDER BY pos) AS texts, string_agg(coalesce(item_text, '') || ' ' || sid, ', ' ORDER BY pos) AS mixed FROM s JOIN it USING (item_id) GROUP BY user_id, split, item_fut),
+ f AS (SELECT l.*, it.sid AS fs, it.sid || ' ' || coalesce(it.item_text, '') AS fb FROM l JOIN it ON it.item_id = l.item_fut),
+ u AS (SELECT 'user' AS src, user_id AS id, split, 'sid_sequence_to_sid' AS template, sids AS prompt, fs AS answer FROM f UNION ALL SELECT 'user', user_id, split, 'description_sequence_to_sid', texts, fs FROM f UNION ALL SELECT 'user', user_id, split, 'mixed_sequence_to_sid', mixed, fs FROM f
+  UNION ALL SELECT 'user', user_id, split, 'description_sequence_to_sid_and_description', texts, fb FROM f UNION ALL SELECT 'user', user_id, split, 'sid_sequence_to_sid_and_description', sids, fb FROM f
+  UNION ALL SELECT 'item', item_id, NULL, 'description_to_sid', item_text, sid FROM it WHERE item_text IS NOT NULL UNION ALL SELECT 'item', item_id, NULL, 'sid_to_description', sid, item_text FROM it WHERE item_text IS NOT NULL)
+ SELECT src, id, split, template, md5(prompt) AS prompt, md5(answer) AS answer FROM u""")
 def training_samples(spark, d):
-    """Five samples a history and two an item, counted by template."""
-    items = _read(spark, d, "catalog_items").filter("item_id is not null").groupBy("item_id").agg(F.min("item_text").alias("item_text")).join(_codes(spark, d), "item_id")
+    """Five samples a history and two an item."""
+    items = _item_texts(spark, d)
     history = _read(spark, d, "history").dropDuplicates(["user_id", "split"])
-    both = S.sequence_samples(history, items).select("template", "prompt", "answer").unionByName(S.item_samples(items).select("template", "prompt", "answer"))
-    return both.groupBy("template").agg(F.count("*").alias("n"), F.sum(F.length("prompt")).alias("chars"))
+    users = S.sequence_samples(history, items).select(F.lit("user").alias("src"), F.col("user_id").alias("id"), "split", "template", "prompt", "answer")
+    both = users.unionByName(S.item_samples(items).select(F.lit("item").alias("src"), F.col("item_id").alias("id"), F.lit(None).cast("string").alias("split"), "template", "prompt", "answer"))
+    return both.select("src", "id", "split", "template", F.md5("prompt").alias("prompt"), F.md5("answer").alias("answer"))

@@ -56,6 +56,20 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BR
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, share: float = 1 / 1024, salts: int = 64) -> DataFrame:
+    """``left`` joined to one row a key of ``right``, where a few keys may hold most rows of ``left``.
+
+    Keys with ``share`` of the rows or more (so few that they are broadcast) are salted by a hash of the column ``spread``.
+    """
+    counts = stage(left.groupBy(key).agg(F.count("*").alias("_n")))
+    least = (counts.agg(F.sum("_n")).first()[0] or 0) * share
+    hot = F.broadcast(counts.filter((F.col("_n") >= least) & F.col(key).isNotNull()).select(key, F.lit(salts).alias("_salts")))  # 1 / share rows at most
+    n = F.coalesce("_salts", F.lit(1))
+    a = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), n).cast("int")).drop("_salts")
+    b = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+    return a.join(b, [key, "_salt"]).drop("_salt")
+
+
 def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank", partitions: int | None = None) -> DataFrame:
     """0-based position of each row within ``keys`` in the order of ``order``, without one task per key.
 

@@ -30,6 +30,17 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", META_SCHEMA, options).alias("m")).select("m.*")
 
 
+def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n_lines, n_unreadable) of a metadata file: how many lines give no ``asin`` and so no item."""
+    return read_metadata(spark, path).agg(F.count("*").alias("n_lines"), F.count_if(F.col("asin").isNull()).alias("n_unreadable"))
+
+
+def read_config(path: str, kind: type) -> Any:
+    """A dataclass from a JSON file of its fields; unknown fields are an error."""
+    with open(path) as f:
+        return kind(**json.load(f))
+
+
 def items_with_text(meta: DataFrame, ids: DataFrame) -> DataFrame:
     """(item_id, asin, item_text): metadata joined to ids by asin."""
     from quantloom.operators.sequences import item_text
