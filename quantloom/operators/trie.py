@@ -140,7 +140,10 @@ def lcg_uniform(seed: int, *parts) -> Column:
     total = F.lit(seed * 7_919)
     for part, factor in zip(parts, (104_729, 1_299_709, 15_485_863, 32_452_843)):
         total = total + F.coalesce(F.col(part) if isinstance(part, str) else part, F.lit(0)).cast("long") * factor
-    return (F.pmod(total * 48_271 + 11, F.lit(1_000_003)).cast("double") + 0.5) / 1_000_003
+    h = F.array(F.pmod(total, F.lit(1_000_003)))
+    for _ in range(3):  # squares, so that neighbouring numbers do not stay neighbours
+        h = F.transform(h, lambda x: F.pmod(x * x * 31 + x * 17 + 7, F.lit(1_000_003)))
+    return (F.get(h, F.lit(0)).cast("double") + 0.5) / 1_000_003
 
 
 def sample(df: DataFrame, by: list[str], k: int, temperature: float, seed: int, logit: str = "logit", uniform=hash_uniform) -> DataFrame:

@@ -287,7 +287,10 @@ _SCORE = _TRIE + ", s AS (SELECT level, code AS token, ln(count(*) + 1) AS base
 
 def _gumbel_sql(seed: int, *parts: str) -> str:
     total = " + ".join([str(seed * 7_919), *[f"CAST({p} AS BIGINT) * {k}" for p, k in zip(parts, (104_729, 1_299_709, 15_485_863))]])
-    u = f"((({total}) * 48271 + 11) % 1000003 + 0.5) / 1000003.0"
+    h = f"[({total}) % 1000003]"
+    for _ in range(3):
+        h = f"list_transform({h}, lambda x: (x * x * 31 + x * 17 + 7) % 1000003)"
+    u = f"({h}[1] + 0.5) / 1000003.0"
     return f"(-ln(-ln({u} + 1e-10) + 1e-10))"
 
 
