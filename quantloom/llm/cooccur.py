@@ -159,12 +159,13 @@ def cooccurring_items(interactions: DataFrame, basket: str = "session_id", item:
     left = cut.withColumn("other", F.explode(F.expr("sequence(k, blocks - 1)"))).filter("other > k")
     across = left.alias("l").join(cut.alias("r"), (F.col("l.basket") == F.col("r.basket")) & (F.col("l.other") == F.col("r.k"))).select(F.col("l.items").alias("lhs"), F.col("r.items").alias("rhs"))
     work = small.unionByName(within).unionByName(across)
-    n_items, places = items.agg(F.count("*"), F.coalesce(F.sum("n_x"), F.lit(0))).first()
+    able = items.filter(bound)  # only these are in pairs
+    n_items, places = able.agg(F.count("*"), F.coalesce(F.sum("n_x"), F.lit(0))).first()
     blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, n_items // BLOCK_NEIGHBOURS))
     stripes = work.mapInArrow(lambda batches: _map_stripes(batches, blocks), _STRIPE)
     merged = stripes.repartition("item_a", "block").sortWithinPartitions("item_a", "block").mapInArrow(_merger(int(np.ceil(least)), blocks), "item_a long, item_b long, n_ab long")
     counted = (
-        _with_count(_with_count(merged, items, n_items, places, "item_a", "item_b", "n_a"), items, n_items, places, "item_b", "item_a", "n_b")
+        _with_count(_with_count(merged, able, n_items, places, "item_a", "item_b", "n_a"), able, n_items, places, "item_b", "item_a", "n_b")
         .withColumn("n", F.lit(n).cast("long"))
         .withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b")))
         .filter((F.col("n_ab") >= F.lit(least)) & (F.col("n_ab") * F.col("n") >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b")))

@@ -54,3 +54,31 @@ def test_small_combine_limit(spark, monkeypatch):
     rows = data(7, 120)
     df = spark.createDataFrame(rows, "session_id long, item_id long").repartition(7)
     assert {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b) for r in C.cooccurring_items(df).collect()} == brute(rows)
+
+
+def test_significance_and_salted_joins(spark, monkeypatch):
+    import math
+    import random
+
+    from quantloom.llm import cooccur as C
+
+    rng = random.Random(9)
+    baskets = [{1, *rng.sample(range(2, 30), 4)} if i % 3 else {40, 41, *rng.sample(range(2, 30), 2)} for i in range(200)]
+    rows = [(b, i) for b, s in enumerate(baskets) for i in s]
+    df = spark.createDataFrame(rows, "session_id long, item_id long")
+    n = len(baskets)
+    have = lambda *x: sum(1 for b in baskets if b >= set(x))
+    xlogx = lambda v: v * math.log(v) if v else 0.0
+    want = {}
+    for a in range(1, 42):
+        for b in range(a + 1, 42):
+            k, x, y = have(a, b), have(a), have(b)
+            if k:
+                llr = 2 * (xlogx(k) + xlogx(x - k) + xlogx(y - k) + xlogx(n - x - y + k) + xlogx(n) - xlogx(x) - xlogx(n - x) - xlogx(y) - xlogx(n - y))
+                want[a, b] = (k, x, y, k * n / (x * y), llr)
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(C, "BROADCAST_BYTES", limit)
+        got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b) for r in C.cooccurring_items(df).collect()}
+        assert got == {k: v[:3] for k, v in want.items()}
+        sure = {(r.item_a, r.item_b) for r in C.cooccurring_items(df, min_llr=10.83).collect()}
+        assert sure == {k for k, v in want.items() if v[4] >= 10.83 and v[3] > 1} and (40, 41) in sure
