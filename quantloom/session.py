@@ -6,6 +6,9 @@ local checkpoint: a lost executor then costs a re-read, not the job.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: A side may be broadcast up to this many estimated bytes.
 BROADCAST_BYTES = 16 << 20
+_STAGED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,12 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="quantloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def staging_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quantloom/{spark.sparkContext.applicationId}"
+    """The folder of this application's staged tables; what lies in it at the program's end is deleted then, if the session still runs."""
+    path = f"{shared_dir(spark)}/quantloom/{spark.sparkContext.applicationId}"
+    if path not in _STAGED:
+        _STAGED.add(path)
+        atexit.register(_release_at_exit, spark)
+    return path
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            release(spark)
 
 
 def stage(df: DataFrame, *by: str) -> DataFrame:
