@@ -43,3 +43,14 @@ def instruction(task: str, text: Column | str) -> Column:
 def ordered_union(*lists: Column | str) -> Column:
     """The elements of several lists in order of first appearance."""
     return F.array_distinct(F.concat(*lists))
+
+
+def hashed_embedding(text: Column | str, dimensions: int = 64) -> Column:
+    """A unit vector of hashed word counts, where no embedding model is at hand; zero for a text without words, null for null."""
+    from quantloom.functions.vector import l2_normalize
+
+    t = F.col(text) if isinstance(text, str) else text
+    words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    return l2_normalize(F.when(t.isNotNull(), counts))

@@ -283,3 +283,29 @@ def generate_interleaved(prompts: DataFrame, trie: Trie, scorer, start_id: int,
             ends.alias("done"),
         ))
     return state.select("query_id", "tokens")
+
+
+def generate(prompts: DataFrame, scorer, trie: Trie | None = None, config: GenerationConfig | None = None, eos_id: int | None = None, max_new: int = 0) -> DataFrame:
+    """With a trie the beams of ``beam_search``, which needs a config; without one free generation.
+
+    Free generation takes (query_id, last_token) prompts and gives (query_id, tokens): each step the token of
+    the best logit of ``scorer`` (ties: the smaller), or a draw if the config has a temperature, until
+    ``eos_id``, ``max_new`` tokens or a state that the scorer knows nothing for.
+    """
+    if trie is not None:
+        if config is None:
+            raise ValueError("constrained generation needs a config")
+        return beam_search(prompts, trie, scorer, config)
+    warm, seed = (config.temperature, config.seed) if config else (0.0, 0)
+    state = prompts.select("query_id", "last_token", F.array().cast("array<int>").alias("tokens"), F.lit(False).alias("done"))
+    for step in range(max_new):
+        asked = scorer(state.filter("not done").select("query_id", "last_token", "tokens"))
+        score = F.col("logit").cast("double")
+        if warm > 0:
+            score = score / warm + gumbel(hash_uniform(seed, F.lit(step), "query_id", "token"))
+        best = asked.groupBy("query_id").agg(F.max(F.struct(score.alias("s"), (-F.col("token")).alias("m"))).alias("b")).select("query_id", (-F.col("b.m")).cast("int").alias("token"))
+        ends = F.col("done") | F.col("token").isNull() | (F.col("token") == F.lit(eos_id))
+        ends = F.coalesce(ends, F.lit(False))
+        moved = state.join(best, "query_id", "left")
+        state = stage(moved.select("query_id", F.when(ends, F.col("last_token")).otherwise(F.col("token")).alias("last_token"), F.when(ends, F.col("tokens")).otherwise(F.concat("tokens", F.array("token"))).alias("tokens"), ends.alias("done")))
+    return state.select("query_id", "tokens")

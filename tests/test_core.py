@@ -217,8 +217,11 @@ def test_files(spark, tmp_path):
     assert meta == {"levels": 3} and [r.id for r in rows.collect()] == [2]
     files.write_once(df, str(tmp_path / "w"))
     assert files.write_once(df.limit(0), str(tmp_path / "w")).count() == 2
-    files.log_metrics(spark, str(tmp_path / "log"), 1, {"loss": 2.0})
+    for step in (1, 2):
+        files.log_metrics(spark, str(tmp_path / "log"), step, {"loss": 2.0 / step})
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "log")).collect())) == [(1, "loss", 2.0), (2, "loss", 1.0)]
     files.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "csv")).collect())) == [("1", "train"), ("2", "eval")]
 
 
 def test_streams(spark, tmp_path):

@@ -230,3 +230,44 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
     for _ in range(2):
         fit_batch(batches[0], 0, more, str(tmp_path / "c"))
     assert more.counts[0].sum() == 240
+
+
+def test_free_and_constrained_generation(spark):
+    logits = spark.createDataFrame([(0, 1, 1.0), (0, 2, 1.0), (1, 3, 0.5), (3, 9, 2.0), (5, 6, 1.0), (6, 6, 1.0)], "last_token int, token int, logit double")
+    prompts = spark.createDataFrame([(1, 0), (2, 5), (3, 7)], "query_id long, last_token int")
+    score = lambda rows: rows.join(logits, "last_token")
+    got = {r.query_id: r.tokens for r in T.generate(prompts, score, eos_id=9, max_new=4).collect()}
+    assert got == {1: [1, 3], 2: [6, 6, 6, 6], 3: []}
+    with pytest.raises(ValueError):
+        T.generate(prompts, score, trie(spark))
+    best = spark.createDataFrame([(k, float(k)) for k in range(8)], "token int, logit double")
+    beams = T.generate(prompts, lambda c, s: c.join(best, "token"), trie(spark), T.GenerationConfig(3))
+    assert {tuple(r.tokens) for r in beams.collect()} == {(3, 1, 3)}
+
+
+def test_functions_in_sql(spark):
+    from quantloom.functions.register import register
+
+    book = np.array([[0.0, 0.0], [4.0, 4.0]])
+    register(spark, [book, book / 4])
+    row = spark.sql("SELECT vec_dot(array(1D, 2D), array(3D, 4D)) a, vec_l2sq(array(1D, 2D), array(3D, 4D)) b, strip_padding(array(1L, -1L, NULL)) c, flat_ids(array(1, 2), 10L) d, sid_string(array(1, 2)) e, encode_codes(array(4D, 5.5D)) f, encode_codes(array(1D)) g").first()
+    assert (row.a, row.b, row.c, row.d, row.e, row.f, row.g) == (11.0, 8.0, [1], 12, "<|item_start|><item_L0_C1><item_L1_C2><|item_end|>", [1, 1], None)
+    rows = spark.sql("SELECT * FROM sequence_tokens(array(5, 51, 57, 58), 50, 2, 4)").collect()
+    assert [(r.kind, r.code) for r in rows] == [("text", None), ("item", 1), ("item", 3), ("mark", None)]
+
+
+def test_hooks_and_helpers(spark):
+    rng = np.random.default_rng(2)
+    batches = [spark.createDataFrame([(v.tolist(),) for v in rng.normal(size=(30, 4))], "embedding array<double>") for _ in range(2)]
+    seen = []
+    model = Q.fit_batches(Q.ResidualKMeans(levels=1, codes=3), batches, on_step=lambda i, m: seen.append((i, int(m.counts[0].sum()))))
+    assert seen == [(0, 30), (1, 60)] and model.books[0].shape == (3, 4)
+    v = S.Vocabulary(50, 2, 4)
+    one = spark.range(1).select(v.codes_of(v.item_token_ids(F.array(F.lit(3), F.lit(2)))).alias("c"), V.vadd(F.array(F.lit(1.0)), F.array(F.lit(2.0))).alias("s"), V.vscale(F.array(F.lit(2.0)), F.lit(3)).alias("k")).first()
+    assert tuple(one) == ([3, 2], [3.0], [6.0])
+    df = spark.createDataFrame([("Red box, red car",), ("",), (None,)], "t string")
+    a, b, c = (r.e for r in df.select(X.hashed_embedding("t", 16).alias("e")).collect())
+    assert abs(sum(x * x for x in a) - 1) < 1e-12 and sorted(a)[-1] > 0.8 and b == [0.0] * 16 and c is None
+    ids = spark.range(50)
+    first, again, other = ({r.id: r.batch for r in S.batch_ids(ids.repartition(n), "id", 8, seed=s).collect()} for n, s in ((2, 1), (5, 1), (2, 2)))
+    assert first == again != other and sorted(first.values()) == sorted(i // 8 for i in range(50))
