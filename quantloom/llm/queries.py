@@ -66,8 +66,8 @@ def p5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_tree_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ids with every text over 1,024 characters cut anywhere and joined by tree concatenation."""
-    return encode_documents(_read(spark, sf_dir, "documents"), chunk_chars=1_024, cut_anywhere=True)
+    """The same ids with every text over 4,096 characters cut anywhere and joined by tree concatenation."""
+    return encode_documents(_read(spark, sf_dir, "documents"), chunk_chars=4_096, cut_anywhere=True)
 
 
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
