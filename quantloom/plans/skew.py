@@ -10,19 +10,26 @@ from quantloom.operators.skew import arrival_delays, first_level_codes, heavy_ke
 SHARES = {"ids": 0.015, "codes": 0.04}
 
 
-def _both(spark: SparkSession, sf_dir: str, probs: tuple[float, ...] = (0.5, 0.9), **options) -> tuple[DataFrame, DataFrame]:
+def _both(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame]:
     delays = arrival_delays(spark.read.parquet(f"{sf_dir}/interactions.parquet"))
     codes = first_level_codes(spark.read.parquet(f"{sf_dir}/codes.parquet"))
     rows = [delays.select(F.lit("ids").alias("field"), "key_value", "value", F.col("interaction_id").alias("unit")), codes.select(F.lit("codes").alias("field"), "key_value", "value", F.col("item_id").alias("unit"))]
     both = rows[0].unionByName(rows[1])
     total = both.select("field", "unit").distinct().groupBy("field").agg(F.count("*").alias("n"))
     share = F.when(F.col("field") == "ids", F.lit(SHARES["ids"])).otherwise(F.lit(SHARES["codes"]))
-    return keyed_quantiles(both, ["field", "key_value"], "value", probs, **options), total.withColumn("share", share)
+    return keyed_quantiles(both, ["field", "key_value"], "value", (0.5, 0.9), **options), total.withColumn("share", share)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_key, total = _both(spark, sf_dir, ())
-    return heavy_keys(per_key, ["field"], total, "share").select("field", "key_value")
+    """Heavy items and first-level codes, out of the full per-key results.
+
+    Their counts alone decide which keys these are. A heavy key that has values but not all its quantiles
+    stops the query: its result did not come out in full.
+    """
+    per_key, total = _both(spark, sf_dir)
+    full = (F.col("n_values") == 0) | (F.col("q0").between(F.col("min_value"), F.col("q1")) & (F.col("q1") <= F.col("max_value")))
+    key = F.when(full, F.col("key_value")).otherwise(F.raise_error(F.lit("a heavy key lacks its quantiles")))
+    return heavy_keys(per_key, ["field"], total, "share").select("field", key.alias("key_value"))
 
 
 def p3_quantiles(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
